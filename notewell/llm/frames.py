@@ -39,3 +39,20 @@ def dropped(df: DataFrame) -> None:
 def empty_text(name: str = "text"):
     """The text column, with null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """spark, whose executors can import this package wherever the driver runs from."""
+    import shutil
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if not any(f.rpartition("/")[2] == "notewell.zip" for f in context.listFiles):
+        package = Path(__file__).resolve().parent.parent
+        to = Path(tempfile.mkdtemp(prefix="package-"))
+        for source in package.rglob("*.py"):
+            copy = to / "src" / source.relative_to(package.parent)
+            copy.parent.mkdir(parents=True, exist_ok=True)
+            shutil.copyfile(source, copy)
+        context.addPyFile(shutil.make_archive(str(to / "notewell"), "zip", to / "src"))
+    return spark

@@ -6,12 +6,14 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from notewell.llm.frames import shipped
+
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 """The folder of the public tokenizers' files."""
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +34,26 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trips(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_chunks, op3_best_fit_packing, op4_byte_bpe)}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notewell.llm.toxicity import scored, trained
+
+    docs = _table(spark, sf_dir, "documents")
+    return scored(docs, trained(docs, _table(spark, sf_dir, "labels")))
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notewell.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notewell.llm.quality_cnn import scored, trained
+
+    docs = _table(spark, sf_dir, "documents")
+    return scored(docs, trained(docs, _table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_chunks, op3_best_fit_packing, op4_byte_bpe, op5_toxicity, op7_near_duplicates, op8_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
