@@ -54,6 +54,18 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, trained(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_chunks, op3_best_fit_packing, op4_byte_bpe, op5_toxicity, op7_near_duplicates, op8_quality)}
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notewell.llm.html_extract import main_texts
+
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notewell.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+QUERIES = {f.__name__: f for f in (op1_media_chunks, op3_best_fit_packing, op4_byte_bpe, op5_toxicity, op7_near_duplicates, op8_quality, op9_html_extraction, op10_nearest_neighbours)}
 
 ORACLE_SQL: dict[str, str] = {}
