@@ -3,7 +3,8 @@
 A text's payload is cut where a rolling gear hash of the last 32 bytes falls in
 a given residue, each chunk is stored once under its digest, and an ordered
 chunk list per payload rebuilds the media, which is verified against the
-payload's own digest.
+payload's own digest. A chunk's stored form is a bzip2 stream of its 8-bit
+samples, and a payload's is the sequence of its chunks' streams.
 
 Defined results: a null text is the empty text; the empty payload is padded to
 one unit; repeated rows give a row each; an empty table gives no rows; columns
@@ -12,12 +13,12 @@ beside doc_id and text are ignored.
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,9 @@ from notewell.llm.arrays import BLOCK_CHARS, blocks, mix64, offsets_of
 from notewell.llm.frames import empty_text
 
 UNIT = 576
-SHORTEST, AVERAGE_BITS, LONGEST = 2048, 12, 32768
-LEVEL = 9
+SHORTEST, AVERAGE_BITS, LONGEST = 4096, 13, 65536
+NAME_BYTES = 16
+"""Of the digests that name payloads and chunks."""
 DEALT_ANEW = 32
 """A chunk with a block of more uses than this is dealt out again before it is copied for them."""
 BLOCKS = 256
@@ -79,7 +81,7 @@ def _chunked(texts: list[str]):
 
 
 def _digest(data: bytes) -> bytes:
-    return hashlib.sha256(data).digest()[:20]
+    return hashlib.sha256(data).digest()[:NAME_BYTES]
 
 
 def _lists(batches):
@@ -87,7 +89,7 @@ def _lists(batches):
     for batch in batches:
         seen = {}
         for payload, n, chunks in _chunked(batch.column(0).to_pylist()):
-            key = hashlib.sha256(payload[:n]).digest()
+            key = _digest(payload[:n])
             if key not in seen:
                 seen[key] = (n, [_digest(c) for c in chunks])
         yield pa.RecordBatch.from_arrays(
@@ -98,13 +100,12 @@ def _lists(batches):
 
 def _frames(batches):
     """One row for each chunk that a batch holds: its digest and its stored form."""
-    pack = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False)
     for batch in batches:
         seen, size = {}, 0
         for _, _, chunks in _chunked(batch.column(0).to_pylist()):
             for c in chunks:
                 if (d := _digest(c)) not in seen:
-                    seen[d] = pack.compress(c)
+                    seen[d] = bz2.compress(c, 1)
                     size += len(seen[d])
             if size > 1 << 23:
                 yield _pairs(seen)
@@ -129,32 +130,33 @@ def chunk_lists(docs: DataFrame) -> DataFrame:
 
 
 def _rebuilt(batches):
-    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         rows = []
         for key, n, frames in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            payload = b"".join(unpack.decompress(f["frame"]) for f in frames)
-            if hashlib.sha256(payload[:n]).digest() != key:
+            payload = b"".join(bz2.decompress(f["frame"]) for f in frames)
+            if _digest(payload[:n]) != key:
                 raise ValueError(f"the chunks of payload {key.hex()} do not rebuild it")
             stored = hashlib.sha256()
             for f in frames:
                 stored.update(f["frame"])
             counts = np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16)
             rows.append({
-                "key": key, "n_bytes": n, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(),
-                "tail_crc32": zlib.crc32(payload[-32:]), "media_bytes": sum(len(f["frame"]) for f in frames), "media_sha256": stored.hexdigest(),
-                "feature": f"chunks={len(frames)};histogram=" + ",".join(map(str, counts.tolist())),
+                "key": key, "n_bytes": n, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).digest(),
+                "tail_crc32": zlib.crc32(payload[-32:]), "media_bytes": sum(len(f["frame"]) for f in frames), "media_sha256": stored.digest(),
+                "feature": (counts * 255 // len(payload)).astype(np.uint8).tobytes(),
             })
         yield pa.RecordBatch.from_pylist(rows, schema=_MEDIA)
 
 
-_MEDIA = pa.schema([("key", pa.binary()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-_MEDIA_SQL = "key binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_MEDIA = pa.schema([("key", pa.binary()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.binary()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.binary()), ("feature", pa.binary())])
+_MEDIA_SQL = "key binary, n_bytes long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature binary"
 
 
 def rebuild(lists: DataFrame, store: DataFrame) -> DataFrame:
     """Reads the stored chunks back in order and describes each verified payload.
 
+    The feature has the share of each sixteenth of the byte values, in 255ths.
+
     Uses of a chunk are gathered into blocks first, so a chunk that a third of
     the payloads share joins as a few rows; its blocks are dealt out anew before
     they are expanded.
@@ -170,6 +172,6 @@ def rebuild(lists: DataFrame, store: DataFrame) -> DataFrame:
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id and the description of its media, for every row of docs(doc_id, text)."""
-    keyed = docs.select("doc_id", F.unhex(F.sha2(empty_text(), 256)).alias("key"))
-    media = rebuild(chunk_lists(docs), chunk_store(docs))
-    return keyed.join(media, "key").drop("key")
+    keyed = docs.select("doc_id", F.unhex(F.substring(F.sha2(empty_text(), 256), 1, 2 * NAME_BYTES)).alias("key"))
+    media = keyed.join(rebuild(chunk_lists(docs), chunk_store(docs)), "key").drop("key")
+    return media.withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256", "feature")})
