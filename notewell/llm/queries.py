@@ -22,6 +22,12 @@ def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notewell.llm.line_dedup import without_repeats
+
+    return without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notewell.llm.packing import packed
 
@@ -41,6 +47,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, trained(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notewell.llm.pii import found
+
+    return found(_table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notewell.llm.minhash import near_duplicates
 
@@ -66,6 +78,20 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_chunks, op3_best_fit_packing, op4_byte_bpe, op5_toxicity, op7_near_duplicates, op8_quality, op9_html_extraction, op10_nearest_neighbours)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_media_chunks,
+        op2_line_dedup,
+        op3_best_fit_packing,
+        op4_byte_bpe,
+        op5_toxicity,
+        op6_pii_pseudonyms,
+        op7_near_duplicates,
+        op8_quality,
+        op9_html_extraction,
+        op10_nearest_neighbours,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
