@@ -10,8 +10,9 @@ probability under 1e-5.
 Documents with the same set form a class and take part once. In each index
 bucket all are compared with the bucket's first; then, in buckets whose
 documents are still in several components, those of different components are
-compared with each other. So a large group of near copies costs about its own
-size, and no link between components is lost.
+compared with each other, as far as the shingles that they share with any
+other document allow a link at all. So a large group of near copies costs about
+its own size, and no link between components is lost.
 
 Defined results: a null text is the empty text; a document without words links
 with nothing; rows that share a doc_id are one document, which has the links of
@@ -153,6 +154,28 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return links
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows of placed(key, component, ...) whose buckets have several components."""
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    return placed.join(written(mixed), "key", "left_semi")
+
+
+def _room(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, n, most): each document's set size, and the largest set that it can be similar to.
+
+    Only shingles that another of the documents has can be shared, and similar
+    sets share a certain part of both their sizes. So a document with too many
+    shingles of its own meets no other, and a large group of copies with
+    changes of their own isn't compared pair by pair.
+    """
+    sets = written(_sets(docs, nodes.select(F.col("node").alias("doc_id")), words))
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
+    shared = written(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("shingle"))
+    counted = each.join(shared, "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+    most = F.floor(F.col("shared") * (100 + percent) / percent).cast("long") - F.col("n")
+    return sets.select("node", F.size("shingles").cast("long").alias("n")).join(counted, "node").select("node", "n", most.alias("most"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text)."""
     signed = written(signatures(docs, words))
@@ -166,11 +189,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = written(components(links))
     # Buckets of three and more whose documents are not all in one component.
     placed = members.where("many > 2").join(found, "node", "left").select("key", "node", "a", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    placed = written(placed.join(mixed, "key", "left_semi"))
-    left = placed.where("node <> a").select("key", F.col("node").alias("x"), F.col("component").alias("c"))
-    cross = left.join(left.toDF("key", "y", "d"), "key").where("x < y AND c <> d").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    more = confirmed(_within(cross, classes, percent), docs, words, percent)
+    placed = written(_mixed(placed))
+    room = _room(docs, placed.select("node").distinct(), words, percent)
+    placed = written(_mixed(placed.join(room, "node").where(100 * F.col("most") >= percent * F.col("n"))))
+    left = placed.where("node <> a").select("key", F.col("node").alias("x"), F.col("component").alias("c"), F.col("n").alias("n_x"), F.col("most").alias("most_x"))
+    both = left.join(left.toDF("key", "y", "d", "n_y", "most_y"), "key").where("x < y AND c <> d AND n_x <= most_y AND n_y <= most_x")
+    more = confirmed(_within(both.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), classes, percent), docs, words, percent)
     found = components(links.unionByName(more))
     # Copies follow their class.
     of_class = classes.drop("signature").join(found, "node", "left").select("n_shingles", "key_a", "key_b", F.coalesce("component", "node").alias("component"))
