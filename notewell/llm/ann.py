@@ -33,8 +33,8 @@ from notewell.llm.frames import written
 
 SAMPLE = 20_000
 """Most vectors that the tree is fitted on."""
-BRANCHES, LEAF_ROWS, MOST_LEAVES = 8, 200, 1024
-PROBES, TARGET = 300, 0.99
+BRANCHES, LEAF_ROWS, MOST_LEAVES = 8, 1024, 1024
+PROBES, TARGET = 300, 0.97
 """Sampled queries for the calibration, and the share of their neighbours to be met."""
 MEMBERS_A_BLOCK, QUERIES_A_BLOCK = 16_384, 1024
 SPARE = 4
