@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notewell.llm.arrays import blocks
 from notewell.llm.minhash import shingle_sets, signatures_of
 
 
@@ -30,14 +31,13 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, training, most: int
 
 def unlike(texts: list[str], words: int = 3) -> np.ndarray:
     """Places of texts that are no near copy of an earlier one, by two MinHash symbols, so that copies don't count as evidence."""
-    sets = shingle_sets(texts, words)
-    some = [i for i, s in enumerate(sets) if len(s)]
-    if not some:
-        return np.arange(len(texts))
-    symbols = signatures_of([sets[i] for i in some])[:, :4].copy().view(np.uint32)
     seen, out = set(), []
-    for i, (a, b) in zip(some, symbols.tolist(), strict=True):
-        if not seen & {(0, a), (1, b)}:
-            out.append(i)
-        seen |= {(0, a), (1, b)}
-    return np.array(out)
+    for begin, end in blocks(texts):
+        sets = shingle_sets(texts[begin:end], words)
+        some = [i for i, s in enumerate(sets) if len(s)]
+        symbols = signatures_of([sets[i] for i in some])[:, :4].copy().view(np.uint32).tolist() if some else []
+        for i, (a, b) in zip(some, symbols, strict=True):
+            if not seen & {(0, a), (1, b)}:
+                out.append(begin + i)
+            seen |= {(0, a), (1, b)}
+    return np.array(out, np.int64)

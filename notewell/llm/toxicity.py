@@ -24,7 +24,7 @@ from notewell.llm.arrays import LETTER, blocks, classes, code_points, mix64, off
 from notewell.llm.frames import empty_text
 from notewell.llm.samples import fold, labelled, unlike
 
-SAMPLE = 4000
+SAMPLE = 3000
 """Most training rows with either label."""
 TERMS, FACTORS, RUN, FIRST_LETTERS = 8192, 4, 24, 5
 FOLDS = 5
@@ -121,13 +121,17 @@ def fit(texts: list[str], label: np.ndarray, rounds: int = 30, seed: int = 0) ->
     positives = int(label.sum())
     if not positives or positives == len(label):
         return none
-    words, heads, run, first_run = terms_of(texts)
-    text_of = np.repeat(np.arange(len(texts)), np.diff(first_run))[run]
-    term, text_of = np.concatenate([words, heads]), np.concatenate([text_of, text_of])
-    once = np.unique(mix64(term ^ mix64(text_of.astype(np.uint64))), return_index=True)[1]
-    hashes, index = np.unique(term[once], return_inverse=True)
+    terms, labels = [], []
+    for i, j in blocks(texts):
+        words, heads, run, first_run = terms_of(texts[i:j])
+        text_of = np.tile(np.repeat(np.arange(i, j), np.diff(first_run))[run], 2)
+        term = np.concatenate([words, heads])
+        once = np.unique(mix64(term ^ mix64(text_of.astype(np.uint64))), return_index=True)[1]
+        terms.append(term[once])
+        labels.append(label[text_of[once]])
+    hashes, index = np.unique(np.concatenate(terms), return_inverse=True)
     with_it = np.bincount(index, minlength=len(hashes))
-    toxic = np.bincount(index, weights=label[text_of[once]], minlength=len(hashes))
+    toxic = np.bincount(index, weights=np.concatenate(labels), minlength=len(hashes))
     rate = positives / len(label)
     odds = np.log((toxic + 4 * rate) / (with_it - toxic + 4 * (1 - rate))) - np.log(rate / (1 - rate))
     surprise = np.abs(toxic - rate * with_it) / np.sqrt(rate * (1 - rate) * with_it)
@@ -135,7 +139,10 @@ def fit(texts: list[str], label: np.ndarray, rounds: int = 30, seed: int = 0) ->
     keep = keep[surprise[keep] >= SURPRISE]
     rng = np.random.default_rng(seed)
     machine = Machine(hashes[keep], np.clip(odds[keep], -1, 4), rng.normal(0, 0.01, (len(keep), FACTORS)), -2.0)
-    run, row, first_run = machine.events(texts)
+    parts = [machine.events(texts[i:j]) for i, j in blocks(texts)]
+    first_run = offsets_of(np.concatenate([np.diff(f) for _, _, f in parts]))
+    begin = np.cumsum([0, *(int(f[-1]) for _, _, f in parts[:-1])])
+    run, row = np.concatenate([r + b for (r, _, _), b in zip(parts, begin, strict=True)]), np.concatenate([r for _, r, _ in parts])
     n = int(first_run[-1])
     begins = np.searchsorted(run, np.arange(n + 2))
     ends_of = np.repeat(first_run[1:], np.diff(first_run))
