@@ -41,23 +41,35 @@ def sent(df: DataFrame, most: int = SENT_WHOLE) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+# Explodes here are outer ones, with a filter on what they give: for others the
+# optimizer adds a filter below, which computes the whole array a second time.
+
+
+def _spaced(line: Column) -> Column:
+    """line in lower case, its other ASCII white space as spaces."""
+    low = F.lower(line)
+    return F.when(low.rlike(r"[\t\x0B\f\r]"), F.translate(low, "\t\x0b\f\r", "    ")).otherwise(low)
+
+
 def words(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(line), r"[\s\p{Z}]+"), lambda w: w != ""))
+    """The distinct words of a line, between spaces."""
+    return F.array_remove(F.array_distinct(F.split(_spaced(line), " ")), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(d, at, line): every line of every document."""
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    return docs.select(d.alias("d"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    return docs.select(d.alias("d"), F.posexplode_outer(F.split("text", "\n", -1)).alias("at", "line")).where("at IS NOT NULL")
 
 
 def _hashes(line: Column) -> tuple[Column, Column]:
     return F.xxhash64(F.lower(line)), F.xxhash64(F.lit(1), F.lower(line))
 
 
-def _rarity(lines: DataFrame) -> Column:
+def _rarity(docs: DataFrame) -> Column:
     """How common the words of each bucket are, a byte of 0 to 126 in steps of a quarter of a power of two."""
-    counted = lines.select(F.explode(words(F.col("line"))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    each = docs.select(F.explode_outer(F.split(F.lower(F.col("text")), r"[ \n]")).alias("w"))
+    counted = each.where("w IS NOT NULL").groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     table = bytearray(BUCKETS)
     for row in counted.collect():  # BUCKETS rows at most
         table[row["bucket"]] = min(126, int(4 * math.log2(row["n"] + 1)))
@@ -74,10 +86,10 @@ def _overlap(n: Column, m: Column) -> Column:
     return F.ceil(PERCENT * (n + m) / F.lit(100 + PERCENT))
 
 
-def _bits(codes: Column, shift: int) -> Column:
-    """The codes' bits in one of two maps of 64."""
-    own = F.filter(codes, lambda c: F.shiftright(c, 6) % 2 == shift)
-    return F.aggregate(own, F.lit(0).cast("long"), lambda a, c: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (c % 64).cast("int"))))
+def _bits(hashes: Column) -> Column:
+    """A map of 64 bits with those set that the hashes' last six bits name."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
 
 
 def _possible(a: str, b: str) -> Column:
@@ -109,36 +121,43 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(d, at, line_hash): the lines of docs(doc_id, text) that an earlier line repeats."""
-    lines = _lines(docs.select("doc_id", "text"))
-    long_ones = lines.where(F.size(words(F.col("line"))) >= LEAST)
+    docs = docs.select("doc_id", "text")
+    lines = _lines(docs)
     h0, h1 = _hashes(F.col("line"))
-    keyed = long_ones.select("d", "at", h0.alias("h0"), h1.alias("h1"), F.xxhash64("line").alias("line_hash"))
+    keyed = lines.select("d", "at", "line", h0.alias("h0"), h1.alias("h1"))
     groups = written(keyed.groupBy("h0", "h1").agg(F.min(F.struct("d", "at")).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").select("h0", "h1", "first"))
-    small_groups = sent(groups)
-    equal = written(keyed.join(small_groups, ["h0", "h1"]).where("first <> struct(d, at)").select("d", "at", "line_hash"))
+    groups = sent(groups)
+    long_enough = F.size(words(F.col("line"))) >= LEAST
+    # The test of length names both sides, so it runs on the few lines that meet a group.
+    repeated = keyed.join(groups, ["h0", "h1"]).where(F.when(F.col("first") != F.struct("d", "at"), long_enough).otherwise(False))
+    equal = written(repeated.select("d", "at", F.xxhash64("line").alias("line_hash")))
 
-    steps = _rarity(lines)
-    firsts = lines.select("d", "at", h0.alias("h0"), h1.alias("h1"), words(F.col("line")).alias("w")).where(F.size("w") >= LEAST)
-    firsts = firsts.join(small_groups, ["h0", "h1"], "left").where("first IS NULL OR first = struct(d, at)").select("d", "at", "w")
-    hashed = firsts.select("d", "at", F.transform("w", lambda x: F.xxhash64(x)).alias("x"))
+    steps = _rarity(docs)
+    firsts = keyed.join(groups, ["h0", "h1"], "left").where("first IS NULL OR first = struct(d, at)").select("d", "at", F.split(_spaced(F.col("line")), " ").alias("w"))
+    hashed = firsts.select("d", "at", F.sort_array(F.array_distinct(F.array_remove(F.transform("w", lambda x: F.xxhash64(x)), F.xxhash64(F.lit(""))))).alias("x"))
+    counted = hashed.select("d", "at", "x", F.size("x").alias("n"), F.size(F.filter("x", lambda x: x < 0)).alias("k"))
 
     def coded(x: Column) -> Column:
         step = F.ascii(F.substr(steps, (F.pmod(x, F.lit(BUCKETS)) + 1).cast("int"), F.lit(1)).cast("string"))
         return F.shiftleft(step.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
 
-    bits = F.transform("x", lambda x: F.shiftrightunsigned(x, 20))
-    sketched = hashed.select("d", "at", "x", F.size("x").alias("n"), _bits(bits, 0).alias("b0"), _bits(bits, 1).alias("b1"))
+    # Two bitmaps: of the words with negative hashes, which come first, and of the others.
+    b0, b1 = _bits(F.slice("x", F.lit(1), F.col("k"))), _bits(F.slice("x", F.col("k") + 1, F.col("n") - F.col("k")))
+    sketched = counted.select("d", "at", "x", "n", F.when(F.col("n") >= LEAST, b0).alias("b0"), F.when(F.col("n") >= LEAST, b1).alias("b1"))
 
     # 2. Against the first line that shares a picked word.
-    picked = sketched.select("d", "at", "n", "b0", "b1", F.explode(F.slice(F.sort_array(F.transform("x", lambda x: F.shiftrightunsigned(x, 1))), 1, PICKED)).alias("key"))
+    some = F.when(F.col("n") >= LEAST, PICKED).otherwise(0)
+    picked = sketched.select("d", "at", "n", "b0", "b1", F.explode_outer(F.slice("x", F.lit(1), some)).alias("key")).where("key IS NOT NULL")
     leaders = written(picked.groupBy("key").agg(F.min(F.struct("d", "at", "n", "b0", "b1")).alias("l"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "l.*"))
     met = picked.alias("y").join(leaders.alias("x"), "key").where(_earlier("x", "y") & _possible("x", "y"))
     settled = _verified(met.select("y.d", "y.at", F.col("x.d").alias("d0"), F.col("x.at").alias("at0")), docs)
 
     # 3. The others, against all earlier lines that share a word of the prefixes.
     gone = sent(written(settled.select("d", "at").distinct())).withColumn("settled", F.lit(1))
-    sorted_ = sketched.join(gone, ["d", "at"], "left").select("d", "at", "n", "b0", "b1", F.when(F.col("settled").isNull(), 1).otherwise(0).alias("open"), F.sort_array(F.transform("x", coded)).alias("codes"))
-    postings = sorted_.select("d", "at", "n", "b0", "b1", "open", F.posexplode(F.slice("codes", F.lit(1), _prefix(F.col("n")).cast("int"))).alias("place", "key"))
+    open_ = F.when(F.col("settled").isNull(), 1).otherwise(0).alias("open")
+    reach = F.when(F.col("n") >= LEAST, _prefix(F.col("n")).cast("int")).otherwise(0)
+    codes = F.slice(F.sort_array(F.transform("x", coded)), F.lit(1), reach)
+    postings = sketched.join(gone, ["d", "at"], "left").select("d", "at", "n", "b0", "b1", open_, F.posexplode_outer(codes).alias("place", "key")).where("key IS NOT NULL")
     x, y = postings.alias("x"), postings.alias("y")
     shortest_place = F.when(F.col("x.n") <= F.col("y.n"), F.col("x.place")).otherwise(F.col("y.place"))
     # Words before the shared one that either has alone.
