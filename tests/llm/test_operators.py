@@ -1,0 +1,351 @@
+"""Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import base64
+import hashlib
+import os
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from notewell.llm import ann, arrays, bpe, graph, html_extract, line_dedup, media_chunks, minhash, packing, pii, quality_cnn, toxicity
+
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+PLAIN, MULTI = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
+LONG = " ".join(f"word{i} of é" for i in range(9000)) + "\n" + "x" * 70_000
+TEXTS = ["hello world", None, "", LONG, "hello world", "it's 12 o'clock — déjà vu 🙂\t\n ", "\n\n", "a"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """With columns whose names the operators use within."""
+    rows = [(i, t, f"k{i}", 1, 2.0) for i, t in enumerate(TEXTS)] + [(0, TEXTS[0], "k0", 1, 2.0), (None, "no id here at all", "n", 1, 2.0)]
+    return spark.createDataFrame(rows, "doc_id long, text string, key string, piece int, score double").repartition(3)
+
+
+def empty(docs):
+    return docs.limit(0)
+
+
+def test_pretokens_match_the_library():
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks = bpe.read_ranks(MULTI)
+    own = tiktoken.Encoding("own", pat_str=packing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    alphabet = "abst rev'ldm  \t\n\r 12½é漢🙂\u0085\x1c　.,!’"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 5, 40]))) for _ in range(800)] + ["'s", "<|endoftext|>", "aaaa" * 50]
+    machine = bpe.Transducer(ranks, most=64)  # so few states that they are dropped on the way
+    memo = arrays.Memo(lambda w: machine.encode(w.encode()), entries=256)
+    ids, bounds = arrays.encode_block(texts, memo)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [own.encode_ordinary(t) for t in texts]
+
+
+def test_decoder_is_incremental():
+    ranks = {bytes([b]): b for b in range(256)}
+    for data in ("é漢🙂 a".encode(), b"\xff", "é".encode()[:1], b"\xed\xa0\x80", b"\xf4\x90\x80\x80"):
+        decoder = bpe.Decoder(ranks)
+        out = b"".join(decoder.feed(np.array([b])) for b in data)
+        try:
+            data.decode()
+            whole = True
+        except UnicodeDecodeError:
+            whole = False
+        assert out == data and decoder.finish() == whole
+
+
+def test_op4(docs):
+    rows = bpe.round_trips(docs, MULTI).collect()
+    assert len(rows) == len(TEXTS) + 2 and bpe.round_trips(empty(docs), MULTI).count() == 0
+    by_id = {r.doc_id: r for r in rows}
+    for i, t in enumerate(TEXTS):
+        assert by_id[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest() and by_id[i].valid_utf8
+    assert {r.doc_id: len(r.ids) for r in bpe.encoded(docs, MULTI).where("doc_id IS NOT NULL").collect()} == {i: by_id[i].n_tokens for i in range(len(TEXTS))}
+
+
+def test_op1(docs):
+    rows = media_chunks.media_columns(docs).collect()
+    assert len(rows) == len(TEXTS) + 2 and media_chunks.media_columns(empty(docs)).count() == 0
+    for r in rows:
+        text = "no id here at all" if r.doc_id is None else TEXTS[r.doc_id] or ""
+        payload, n = media_chunks.payload_of(text)
+        assert len(payload) % 576 == 0 and len(payload) > 0
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+    assert len({(r.media_sha256, r.feature) for r in rows if r.doc_id in (0, 4)}) == 1
+
+
+def test_cuts_follow_content():
+    rng = np.random.default_rng(0)
+    body = rng.integers(97, 123, 200_000, dtype=np.uint8).tobytes()
+    (a,), (b,) = media_chunks.cut_points([body]), media_chunks.cut_points([b"some more in front" + body])
+    chunks = [{bytes(p[x:y]) for x, y in zip([0, *e[:-1]], e)} for p, e in ((body, a), (b"some more in front" + body, b))]
+    assert len(chunks[0] & chunks[1]) > 0.8 * len(chunks[0]) and a[-1] == len(body)
+
+
+def test_hot_chunks_rebuild(spark):
+    shared = "passage " * 2000
+    many = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit(shared), F.lpad(F.col("id").cast("string"), 3, "0")).alias("text"))
+    rows = media_chunks.media_columns(many).collect()
+    assert {r.doc_id: r.payload_sha256 for r in rows} == {i: hashlib.sha256(media_chunks.payload_of(f"{shared}{i:03}")[0]).hexdigest() for i in range(300)}
+
+
+def test_op3(docs):
+    rows = packing.packed(docs, PLAIN, a_partition=3).collect()
+    assert packing.packed(empty(docs), PLAIN).count() == 0
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in sequences.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 2048
+    long_one = sorted((r.piece, r.start, r.length) for r in rows if r.doc_id == 3)
+    assert all(n == 2048 for _, _, n in long_one[1:]) and [s for _, s, _ in long_one] == [sum(n for _, _, n in long_one[:k]) for k in range(len(long_one))]
+    assert sum(1 for r in rows if r.doc_id == 0) == 2 and [r.length for r in rows if r.doc_id == 1] == [1]
+
+
+def test_packing_bounds():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        lengths = rng.integers(1, 101, rng.integers(0, 60))
+        bins = packing.best_fit(lengths, 100)
+        fill = np.bincount(bins, weights=lengths) if len(lengths) else np.zeros(0)
+        assert (fill <= 100).all() and packing.lower_bound(lengths, 100) <= len(fill) <= 1.3 * packing.lower_bound(lengths, 100) + 1
+    assert packing.lower_bound(np.array([51] * 7), 100) == 7 and packing.lower_bound(np.array([34] * 6), 100) == 3
+
+
+def brute_lines(rows):
+    """Removed (doc_id, line) of rows (doc_id, text), by comparing every line with all before it."""
+    lines = sorted({(d, k, line) for d, t in rows if t is not None for k, line in enumerate(t.split("\n"))}, key=lambda x: x[:2])
+    sets = [frozenset(w for w in re.split(r"[ \t\x0b\f\r]", line.lower()) if w) for _, _, line in lines]
+    gone = set()
+    for i, s in enumerate(sets):
+        if len(s) >= 5 and any(100 * len(s & o) >= 80 * len(s | o) for o in sets[:i] if len(o) >= 5):
+            gone.add(lines[i][:2])
+    return gone
+
+
+def test_op2_against_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(60)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.randint(3, 30))] for _ in range(25)]
+    rows = []
+    for d in range(60):
+        lines = []
+        for _ in range(rng.randint(0, 6)):
+            words = list(rng.choice(base))
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            lines.append(rng.choice([" ", "  "]).join(words))
+        rows.append((d, "\n".join(lines)))
+    rows += [(100, None), (101, ""), (102, LONG), (103, LONG), (3, rows[3][1])]
+    docs = spark.createDataFrame([(d, t, "x", 0) for d, t in rows], "doc_id long, text string, key string, n int").repartition(4)
+    gone = brute_lines(rows)
+    wanted = sorted((d, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone)) for d, t in rows)
+    got = line_dedup.without_repeats(docs)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=lambda x: (x[0], x[1] or "")) == sorted(wanted, key=lambda x: (x[0], x[1] or ""))
+    assert got.columns == ["doc_id", "key", "n", "text", "n_removed"] and len(gone) > 30
+    assert line_dedup.without_repeats(docs.limit(0)).count() == 0
+
+
+def brute_components(rows, words):
+    sets = {}
+    for d, t in rows:
+        if d is None:
+            continue
+        w = (t or "").encode().lower().split()
+        sets.setdefault(d, []).append({tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set()))
+    low = {d: d for d in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if any(s and o and 100 * len(s & o) >= 80 * len(s | o) for s in sets[a] for o in sets[b]) and low[a] != low[b]:
+                    low[a] = low[b] = min(low[a], low[b])
+                    changed = True
+    return low
+
+
+def test_op7_against_brute_force(spark):
+    rng = random.Random(7)
+    base = [[f"v{rng.randrange(4000)}" for _ in range(rng.randint(1, 120))] for _ in range(12)]
+    rows = []
+    for d in range(90):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            words[rng.randrange(len(words))] = f"new{rng.random()}"
+        rows.append((d, " ".join(words)))
+    rows += [(200, None), (201, ""), (202, "two words"), (203, "Two  WORDS\n"), (204, LONG), (205, LONG), (5, rows[5][1]), (None, rows[0][1])]
+    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, node string, component long").repartition(4)
+    got = minhash.near_duplicates(docs, words=4).collect()
+    wanted = brute_components(rows, 4)
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got if r.doc_id is not None} == wanted
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
+    assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 3), (7, 7)], "a long, b long")
+    assert {r.node: r.component for r in graph.components(links).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 4: 4, 5: 4}
+    assert graph.components(links.limit(0)).count() == 0
+
+
+def test_op6(spark):
+    rows = ["card 4111 1111 1111 1111 or 4111111111111111", "not 4111111111111112", "a.b@mail.example and a.b@mail.example", "+1 (237) 555-0959", "10.0.0.255 999.0.0.1", "born 1987-02-28, 28/02/1987, 1987-02-30",
+            "DE89370400440532013000", 'token = "399d2920424fa9681529d24c"', None, "", "plain", LONG]
+    docs = spark.createDataFrame([(i, t, 3, "x") for i, t in enumerate(rows)], "doc_id long, text string, n_found int, m string")
+    got = {r.doc_id: r.text for r in pii.pseudonymised(docs).collect()}
+    cards = re.findall(r"\d(?:[ ]?\d){15}", got[0])
+    assert cards[0].replace(" ", "") == cards[1] != "4111111111111111" and cards[0].count(" ") == 3
+    digits = [int(c) for c in cards[1]][::-1]
+    assert sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(digits)) % 10 == 0
+    assert got[1] == rows[1] and got[8] is None and got[9] == "" and got[10] == "plain" and got[11] == LONG
+    one, two = got[2].split(" and ")
+    assert one == two != "a.b@mail.example" and one.endswith("@mail.example")
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[3]) and got[3] != rows[3]
+    assert "10.0.0.255" not in got[4] and "999.0.0.1" in got[4]
+    iso, slashed, wrong = got[5].removeprefix("born ").split(", ")
+    assert iso != "1987-02-28" and slashed == "/".join(iso.split("-")[::-1]) and wrong == "1987-02-30"
+    iban = got[6][4:] + "1314" + got[6][2:4]
+    assert got[6][:2] == "DE" and int(iban) % 97 == 1 and got[6] != rows[6]
+    assert re.fullmatch(r'token = "[0-9a-z]{24}"', got[7]) and got[7] != rows[7]
+    assert pii.pseudonymised(docs.limit(0)).count() == 0 and pii.pseudonymised(docs).columns == docs.columns
+
+
+def test_op6_permutes(spark):
+    numbers = spark.range(1000).select(pii.permuted(F.lpad(F.col("id").cast("string"), 3, "0"), "k").alias("x"))
+    assert numbers.distinct().count() == 1000 and numbers.where("length(x) <> 3").count() == 0
+    days = spark.range(271 * 269).select(pii.permuted_number(F.col("id"), 271, 269, "k").alias("x")).agg(F.countDistinct("x"), F.min("x"), F.max("x")).first()
+    assert tuple(days) == (271 * 269, 0, 271 * 269 - 1)
+
+
+def labelled(n, seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(300)]
+    texts, toxic = [], []
+    for _ in range(n):
+        text = [rng.choice(words) for _ in range(rng.randint(5, 200))]
+        if bad := rng.random() < 0.4:
+            text[rng.randrange(len(text))] = rng.choice(["scoundrel", "villain"])
+        texts.append(" ".join(text))
+        toxic.append(float(bad))
+    return texts, np.array(toxic)
+
+
+def test_op5(docs):
+    machine = toxicity.fit(*labelled(900, 1))
+    texts, toxic = labelled(400, 2)
+    assert ((machine.logits(texts) >= 0) == (toxic == 1)).mean() > 0.98
+    rows = toxicity.scored(docs, machine).collect()
+    assert len(rows) == len(TEXTS) + 2 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows if r.doc_id is not None)
+    assert toxicity.clean(docs, machine).columns == docs.columns and toxicity.scored(empty(docs), machine).count() == 0
+    assert set(toxicity.fit(texts, np.zeros(len(texts))).logits(TEXTS[3:5])) == {-100.0}
+
+
+def test_factors_learn_pairs():
+    rng = random.Random(4)
+    names, verbs = [f"group{c}" for c in "abcd"], [f"harm{c}" for c in "abcd"]
+    texts, label = [], []
+    for _ in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(" ".join([rng.choice(names) if a else "calm", rng.choice(verbs) if b else "soft", f"x{rng.random()}"]))
+        label.append(float(a and b))
+    machine = toxicity.fit(texts, np.array(label), rounds=60)
+    assert ((machine.logits(texts) >= 0) == (np.array(label) == 1)).mean() > 0.97
+
+
+def test_op8(docs):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(200)]
+    make = lambda bad: " ".join(rng.choice(words) + ("!!" if bad else "") for _ in range(rng.randint(3, 300)))
+    label = np.array([float(i % 2) for i in range(240)], np.float32)
+    texts = [make(y == 0) for y in label]
+    net = quality_cnn.fit(texts[:160], label[:160], rounds=4)
+    assert ((net.logits(texts[160:]) >= 0) == (label[160:] == 1)).mean() > 0.95
+    assert np.allclose(np.concatenate([net.logits([t]) for t in texts[:5]]), net.logits(texts[:5]), atol=1e-4)
+    rows = quality_cnn.scored(docs, net).collect()
+    assert len(rows) == len(TEXTS) + 2 and all(0 <= r.score <= 1 for r in rows) and quality_cnn.scored(empty(docs), net).count() == 0
+    assert quality_cnn.fit(texts[:3], np.ones(3, np.float32)).logits(["a", ""]).tolist() == [0.0, 0.0]
+
+
+def test_op8_gradients():
+    net = quality_cnn.Network(3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    texts, label = ["some words words here", "MORE!! TEXT!!"], np.array([1.0, 0.0])
+
+    def loss():
+        z = net.logits(texts).astype(float)
+        return float(np.mean(np.log1p(np.exp(z)) - label * z))
+
+    found = net.gradients(texts, label)
+    for name, at in (("out", 2), ("mix", (3, 1)), ("filters", (7, 5))):
+        net.p[name][at] += 1e-2
+        up = loss()
+        net.p[name][at] -= 2e-2
+        down = loss()
+        net.p[name][at] += 1e-2
+        assert abs((up - down) / 2e-2 - found[name][at]) < 2e-2 * max(1, abs(found[name][at]))
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>";</script></head><body><nav><ul><li><a href=/x>Menu item</a></ul></nav>
+<div class="cookie-notice">We use cookies</div><div class="ad">Buy now</div><article class="post-12"><header><h1>Head &amp; line</h1></header><p>First <b>bold</b>text<br>after<p>Second&nbsp;one<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>
+<form><input>Search</form></article><aside>Side</aside><section id="comments"><p>Reader says much more than the whole article does, at great length, again and again.</p></section><footer>&copy; me</footer></body></html>"""
+
+
+def test_op9(spark):
+    rows = [(1, "http://h.example/1", PAGE), (2, "http://h.example/2", PAGE.replace("post-12", "post-77")), (3, None, None), (4, "bad", ""), (5, "http://h.example/5", "just text &lt;"), (6, "http://h.example/6", "<p>" + LONG), (1, "http://h.example/1", PAGE)]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, paths string")
+    got = {r.page_id: r for r in html_extract.main_texts(pages).collect()}
+    assert got[1].text == got[2].text == "Head & line First boldtext after Second one a b c d" and got[1].n_chars == len(got[1].text)
+    assert got[3].text == got[4].text == "" and got[5].text == "just text <" and got[6].n_chars == len(" ".join(LONG.split()))
+    assert html_extract.main_texts(pages).count() == 7 and html_extract.main_texts(pages.limit(0)).count() == 0
+
+
+def test_op9_votes_decide():
+    odd = "<body><div class='a'><p>Short.</p></div><div class='b'><p>A long block of other text that would win on its own page.</p></div></body>"
+    assert html_extract.extract(odd, ["body/div.a"]) == "Short." and html_extract.extract(odd, []).endswith("own page.")
+
+
+def brute_nearest(rows, every, k):
+    held = {}
+    for i, v in rows:
+        if i is not None and v and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            held.setdefault(i, []).append(np.array(v) / np.linalg.norm(v))
+    out = {}
+    for q in held:
+        if q % every == 0:
+            near = sorted(((-max(float(a @ b) for a in held[q] for b in held[i]), i) for i in held if i != q))
+            out[q] = [i for _, i in near[:k]]
+    return out
+
+
+def test_op10(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1500)]
+    rows += [(1500 + i, rows[7][1]) for i in range(12)] + [(3000, None), (3050, []), (3100, [0.0] * 8), (3150, [float("nan")] * 8), (3200, [1.0, None] + [0.0] * 6), (3250, [1.0] * 3), (None, [1.0] * 8), (50, rows[50][1])]
+    table = spark.createDataFrame([(i, v, 1, "b") for i, v in rows], "vec_id long, embedding array<double>, rank int, block string").repartition(4)
+    found = {}
+    for r in ann.nearest(table, 50).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    wanted = brute_nearest(rows, 50, 5)
+    assert set(found) == set(wanted)
+    hits = sum(len(set(found[q]) & set(wanted[q])) for q in wanted)
+    assert hits >= 0.9 * sum(map(len, wanted.values()))
+    few = table.where("vec_id < 3")
+    assert [(r.query_id, r.rank) for r in ann.nearest(few, 50).orderBy("rank").collect()] == [(0, 1), (0, 2)]
+    assert ann.nearest(table.limit(0), 50).count() == 0
+
+
+def test_ties_go_to_smaller_ids(spark):
+    same = spark.createDataFrame([(i, [1.0, 2.0, 3.0]) for i in range(20)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in ann.nearest(same, 50).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_ranks_file_matches_vocabulary():
+    with open(MULTI, "rb") as f:
+        first = f.readline().split()
+    assert bpe.read_ranks(MULTI)[base64.b64decode(first[0])] == int(first[1])
