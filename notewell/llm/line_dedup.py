@@ -1,10 +1,11 @@
-"""Near-duplicate lines by an exact set-similarity join, in SQL functions alone.
+"""Near-duplicate lines by an exact set-similarity join.
 
-A line is the set of its words. A line of at least LEAST words goes if an
-earlier line, by doc_id and line number, has a Jaccard similarity of 0.8 or
-more; the first of its kind stays, and shorter lines all stay.
+A line is the set of its words, which white space separates, in lower case. A
+line of at least LEAST words goes if an earlier line, by doc_id and line
+number, has a Jaccard similarity of 0.8 or more; the first of its kind stays,
+and shorter lines all stay.
 
-1. Equal lines meet by their hashes; their first is taken on.
+1. Lines of equal sets meet by their hashes; their first is taken on.
 2. Lines that share one of three words picked by hash are compared with the
    first of those that share it. This settles nearly all of a large group of
    near copies at about the group's own size.
@@ -14,6 +15,10 @@ more; the first of its kind stays, and shorter lines all stay.
    filter the pairs within the join.
 4. Pairs that pass are verified on the words themselves.
 
+Lines are turned into hashes, bitmaps and prefixes by numpy: in SQL functions
+alone that took several times the limit of CPU time (README). Everything else,
+the joins and the verification, is DataFrame operations.
+
 Defined results: a null text stays null and an empty one empty; rows that share
 a doc_id are one document and repeated rows go the same way; rows without
 doc_id come before all others; an empty table gives no rows; all columns are
@@ -24,9 +29,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notewell.llm.arrays import blocks, mix64, offsets_of, span_hashes, word_spans
 from notewell.llm.frames import written
 
 LEAST, PERCENT = 5, 80
@@ -41,10 +50,6 @@ def sent(df: DataFrame, most: int = SENT_WHOLE) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-# Explodes here are outer ones, with a filter on what they give: for others the
-# optimizer adds a filter below, which computes the whole array a second time.
-
-
 def _spaced(line: Column) -> Column:
     """line in lower case, its other ASCII white space as spaces."""
     low = F.lower(line)
@@ -62,18 +67,123 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select(d.alias("d"), F.posexplode_outer(F.split("text", "\n", -1)).alias("at", "line")).where("at IS NOT NULL")
 
 
-def _hashes(line: Column) -> tuple[Column, Column]:
-    return F.xxhash64(F.lower(line)), F.xxhash64(F.lit(1), F.lower(line))
+class _Block:
+    """The distinct words of the lines of some texts, as hashes sorted within each line."""
+
+    def __init__(self, texts: list[str], least: int) -> None:
+        raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+        data, offsets = np.frombuffer(b"".join(raw), np.uint8), offsets_of([len(r) for r in raw])
+        breaks = np.flatnonzero(data == 0x0A) + 1
+        # Lines begin with texts and after breaks; a text may begin where another, empty, does.
+        begin = np.concatenate([offsets[:-1], breaks])
+        text = np.concatenate([np.arange(len(texts)), np.searchsorted(offsets, breaks - 1, "right") - 1])
+        order = np.lexsort((begin, text))
+        begin, text = begin[order], text[order]
+        starts, ends = word_spans(data, offsets)
+        line = np.searchsorted(begin, starts, "right") - 1
+        words = span_hashes(data, starts, ends)
+        order = np.lexsort((words, line))
+        words, line = words[order], line[order]
+        new = np.ones(len(words), bool)
+        new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
+        words, line = words[new], line[new]
+        n = np.bincount(line, minlength=len(begin))
+        first = np.searchsorted(text, text)
+        kept = np.flatnonzero(n >= least)
+        self.words = words[n[line] >= least]
+        self.n, self.text, self.at = n[kept], text[kept], (kept - first[kept])
+        self.begin = np.cumsum(self.n) - self.n
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.begin) if len(self.n) else values[:0]
+
+    def keys(self) -> list[np.ndarray]:
+        """Two hashes of each line's set."""
+        return [self.sums(mix64(self.words ^ np.uint64(c))).view(np.int64) for c in (0x2545F4914F6CDD1D, 0x6A09E667F3BCC909)]
+
+    def bits(self) -> list[np.ndarray]:
+        """Two maps of 64 bits: of the words whose hashes are even, and of the others."""
+        bit = np.uint64(1) << (self.words >> np.uint64(1) & np.uint64(63))
+        odd = self.words & np.uint64(1) == 1
+        return [(np.bitwise_or.reduceat(np.where(odd == k, bit, np.uint64(0)), self.begin) if len(self.n) else bit[:0]).view(np.int64) for k in (False, True)]
+
+
+_KEYS = "d long, at int, h0 long, h1 long, line_hash long"
+_ROWS = "d long, at int, h0 long, h1 long, n int, b0 long, b1 long, place int, key long"
+
+
+def _mapped(docs: DataFrame, schema: str, make) -> DataFrame:
+    """What make(texts, ids) gives, in columns, for each block of texts."""
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+
+    def run(batches):
+        for batch in batches:
+            texts, ids = batch.column(1).to_pylist(), np.asarray(batch.column(0))
+            for i, j in blocks(texts):
+                columns = make(texts[i:j], ids[i:j])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if f.split()[1] == "int" else pa.int64()) for c, f in zip(columns, schema.split(", "), strict=True)], [f.split()[0] for f in schema.split(", ")])
+
+    return docs.where("text IS NOT NULL").select(d.alias("d"), "text").mapInArrow(run, schema)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(d, at, h0, h1, line_hash) of every long line; line_hash is what xxhash64 gives."""
+
+    def make(texts, ids):
+        block = _Block(texts, LEAST)
+        lines = [t.split("\n") for t in texts]
+        hashes = [xxhash.xxh64_intdigest(lines[t][k].encode("utf-8", "surrogatepass"), 42) for t, k in zip(block.text.tolist(), block.at.tolist(), strict=True)]
+        return ids[block.text], block.at, *block.keys(), np.array(hashes, np.uint64).view(np.int64)
+
+    return _mapped(docs, _KEYS, make)
+
+
+def _picked(docs: DataFrame) -> DataFrame:
+    """A row for each of a long line's words with the smallest hashes."""
 
+    def make(texts, ids):
+        block = _Block(texts, LEAST)
+        line = np.repeat(np.arange(len(block.n)), PICKED)
+        place = np.tile(np.arange(PICKED), len(block.n))
+        key = block.words[block.begin[line] + place].view(np.int64) if len(block.n) else place
+        return (ids[block.text][line], block.at[line], *(k[line] for k in block.keys()), block.n[line], *(b[line] for b in block.bits()), place, key)
 
-def _rarity(docs: DataFrame) -> Column:
-    """How common the words of each bucket are, a byte of 0 to 126 in steps of a quarter of a power of two."""
-    each = docs.select(F.explode_outer(F.split(F.lower(F.col("text")), r"[ \n]")).alias("w"))
-    counted = each.where("w IS NOT NULL").groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    table = bytearray(BUCKETS)
+    return _mapped(docs, _ROWS, make)
+
+
+def _postings(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
+    """A row for each word of a long line's prefix, rarest first."""
+
+    def make(texts, ids):
+        block = _Block(texts, LEAST)
+        codes = rarity[(block.words & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | block.words >> np.uint64(8)
+        line = np.repeat(np.arange(len(block.n)), block.n)
+        codes = codes[np.lexsort((codes, line))].view(np.int64)
+        reach = block.n - (block.n * PERCENT + 99) // 100 + 1
+        line = np.repeat(np.arange(len(block.n)), reach)
+        place = np.arange(len(line)) - np.repeat(np.cumsum(reach) - reach, reach)
+        return (ids[block.text][line], block.at[line], *(k[line] for k in block.keys()), block.n[line], *(b[line] for b in block.bits()), place, codes[block.begin[line] + place])
+
+    return _mapped(docs, _ROWS, make)
+
+
+def _rarity(docs: DataFrame) -> np.ndarray:
+    """How common the words of each bucket are, 0 to 126, in steps of a quarter of a power of two."""
+
+    def run(batches):
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for i, j in blocks(texts):
+                counts += np.bincount((_Block(texts[i:j], 1).words & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["bucket", "n"])
+
+    table = np.zeros(BUCKETS, np.uint8)
+    counted = docs.where("text IS NOT NULL").select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     for row in counted.collect():  # BUCKETS rows at most
         table[row["bucket"]] = min(126, int(4 * math.log2(row["n"] + 1)))
-    return F.lit(bytes(table))
+    return table
 
 
 def _prefix(n: Column) -> Column:
@@ -86,12 +196,6 @@ def _overlap(n: Column, m: Column) -> Column:
     return F.ceil(PERCENT * (n + m) / F.lit(100 + PERCENT))
 
 
-def _bits(hashes: Column) -> Column:
-    """A map of 64 bits with those set that the hashes' last six bits name."""
-    one = F.lit(1).cast("long")
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
-
-
 def _possible(a: str, b: str) -> Column:
     """Whether the lengths and bitmaps of two lines allow the similarity; each bit that only one has is a word that only it has."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -122,42 +226,24 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(d, at, line_hash): the lines of docs(doc_id, text) that an earlier line repeats."""
     docs = docs.select("doc_id", "text")
-    lines = _lines(docs)
-    h0, h1 = _hashes(F.col("line"))
-    keyed = lines.select("d", "at", "line", h0.alias("h0"), h1.alias("h1"))
+    keyed = _keyed(docs)
     groups = written(keyed.groupBy("h0", "h1").agg(F.min(F.struct("d", "at")).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").select("h0", "h1", "first"))
     groups = sent(groups)
-    long_enough = F.size(words(F.col("line"))) >= LEAST
-    # The test of length names both sides, so it runs on the few lines that meet a group.
-    repeated = keyed.join(groups, ["h0", "h1"]).where(F.when(F.col("first") != F.struct("d", "at"), long_enough).otherwise(False))
-    equal = written(repeated.select("d", "at", F.xxhash64("line").alias("line_hash")))
-
-    steps = _rarity(docs)
-    firsts = keyed.join(groups, ["h0", "h1"], "left").where("first IS NULL OR first = struct(d, at)").select("d", "at", F.split(_spaced(F.col("line")), " ").alias("w"))
-    hashed = firsts.select("d", "at", F.sort_array(F.array_distinct(F.array_remove(F.transform("w", lambda x: F.xxhash64(x)), F.xxhash64(F.lit(""))))).alias("x"))
-    counted = hashed.select("d", "at", "x", F.size("x").alias("n"), F.size(F.filter("x", lambda x: x < 0)).alias("k"))
-
-    def coded(x: Column) -> Column:
-        step = F.ascii(F.substr(steps, (F.pmod(x, F.lit(BUCKETS)) + 1).cast("int"), F.lit(1)).cast("string"))
-        return F.shiftleft(step.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
+    equal = written(keyed.join(groups, ["h0", "h1"]).where("first <> struct(d, at)").select("d", "at", "line_hash"))
 
-    # Two bitmaps: of the words with negative hashes, which come first, and of the others.
-    b0, b1 = _bits(F.slice("x", F.lit(1), F.col("k"))), _bits(F.slice("x", F.col("k") + 1, F.col("n") - F.col("k")))
-    sketched = counted.select("d", "at", "x", "n", F.when(F.col("n") >= LEAST, b0).alias("b0"), F.when(F.col("n") >= LEAST, b1).alias("b1"))
+    def firsts(rows: DataFrame) -> DataFrame:
+        return rows.join(groups, ["h0", "h1"], "left").where("first IS NULL OR first = struct(d, at)").drop("h0", "h1", "first")
 
     # 2. Against the first line that shares a picked word.
-    some = F.when(F.col("n") >= LEAST, PICKED).otherwise(0)
-    picked = sketched.select("d", "at", "n", "b0", "b1", F.explode_outer(F.slice("x", F.lit(1), some)).alias("key")).where("key IS NOT NULL")
+    picked = firsts(_picked(docs))
     leaders = written(picked.groupBy("key").agg(F.min(F.struct("d", "at", "n", "b0", "b1")).alias("l"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "l.*"))
     met = picked.alias("y").join(leaders.alias("x"), "key").where(_earlier("x", "y") & _possible("x", "y"))
     settled = _verified(met.select("y.d", "y.at", F.col("x.d").alias("d0"), F.col("x.at").alias("at0")), docs)
 
     # 3. The others, against all earlier lines that share a word of the prefixes.
     gone = sent(written(settled.select("d", "at").distinct())).withColumn("settled", F.lit(1))
-    open_ = F.when(F.col("settled").isNull(), 1).otherwise(0).alias("open")
-    reach = F.when(F.col("n") >= LEAST, _prefix(F.col("n")).cast("int")).otherwise(0)
-    codes = F.slice(F.sort_array(F.transform("x", coded)), F.lit(1), reach)
-    postings = sketched.join(gone, ["d", "at"], "left").select("d", "at", "n", "b0", "b1", open_, F.posexplode_outer(codes).alias("place", "key")).where("key IS NOT NULL")
+    rows = firsts(_postings(docs, _rarity(docs))).join(gone, ["d", "at"], "left")
+    postings = rows.select("d", "at", "n", "b0", "b1", F.when(F.col("settled").isNull(), 1).otherwise(0).alias("open"), "place", "key")
     x, y = postings.alias("x"), postings.alias("y")
     shortest_place = F.when(F.col("x.n") <= F.col("y.n"), F.col("x.place")).otherwise(F.col("y.place"))
     # Words before the shared one that either has alone.
