@@ -94,4 +94,29 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": r"""
+WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr FROM documents WHERE text IS NOT NULL),
+ sets AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(line), '[ \t\x0B\f\r]+'), lambda w: w <> '')) AS w FROM lines),
+ long_ones AS (SELECT *, len(w) AS n, row_number() OVER (ORDER BY doc_id, nr) AS k FROM sets WHERE len(w) >= 5),
+ words AS (SELECT k, n, unnest(w) AS word FROM long_ones),
+ rare AS (SELECT word, count(*) AS df FROM words GROUP BY word),
+ prefix AS (SELECT k, n, word FROM words JOIN rare USING (word) QUALIFY row_number() OVER (PARTITION BY k ORDER BY df, word) <= n - (n * 80 + 99) // 100 + 1),
+ met AS (SELECT DISTINCT y.k AS later, x.k AS earlier FROM prefix x JOIN prefix y ON x.word = y.word AND x.k < y.k AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+ gone AS (SELECT DISTINCT later AS k FROM met JOIN long_ones y ON y.k = later JOIN long_ones x ON x.k = earlier WHERE 180 * len(list_intersect(x.w, y.w)) >= 80 * (x.n + y.n)),
+ removed AS (SELECT doc_id, nr FROM long_ones JOIN gone USING (k)),
+ kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY nr) AS text FROM lines ANTI JOIN removed USING (doc_id, nr) GROUP BY doc_id),
+ counts AS (SELECT doc_id, count(*) AS n FROM removed GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(c.n, 0)::INT AS n_removed
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN counts c USING (doc_id)""",
+    "op7_near_duplicates": r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+   ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i::INT, i::INT + 3), ' '))) END AS s FROM words),
+ each AS (SELECT doc_id, unnest(s) AS x FROM sets),
+ met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM each a JOIN each b USING (x) WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+ links AS (SELECT a, b FROM met JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b WHERE 100 * n >= 80 * (len(p.s) + len(q.s) - n)),
+ sides AS (SELECT a AS x, b AS y FROM links UNION ALL SELECT b, a FROM links),
+ reach(node, low) AS (SELECT doc_id, doc_id FROM sets UNION SELECT y, low FROM reach JOIN sides ON x = node)
+SELECT doc_id, len(any_value(s)) AS n_shingles, min(low) AS component_id, doc_id = min(low) AS kept FROM sets JOIN reach ON node = doc_id GROUP BY doc_id""",
+}
