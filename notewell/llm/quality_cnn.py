@@ -21,6 +21,8 @@ from notewell.llm.arrays import offsets_of, span_hashes, word_spans
 from notewell.llm.frames import empty_text
 from notewell.llm.samples import fold, labelled
 
+LEAST_STEPS = 300
+"""Batches that a fit takes at least, so a small sample is gone over more often."""
 SAMPLE = 700
 """Most training rows with either label."""
 FOLDS = 3
@@ -126,8 +128,10 @@ def fit(texts: list[str], label: np.ndarray, rounds: int = 5, batch: int = 32, s
         return net
     rng = np.random.default_rng(seed)
     m, v, t = {k: 0.0 for k in net.p}, {k: 0.0 for k in net.p}, 0
+    parts = max(1, len(texts) // batch)
+    rounds = max(rounds, LEAST_STEPS // parts)
     for r in range(rounds):
-        for part in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // batch)):
+        for part in np.array_split(rng.permutation(len(texts)), parts):
             t += 1
             for k, g in net.gradients([texts[i] for i in part], label[part]).items():
                 m[k] = 0.9 * m[k] + 0.1 * g

@@ -26,7 +26,12 @@ from notewell.llm.samples import fold, labelled, unlike
 
 SAMPLE = 3000
 """Most training rows with either label."""
-TERMS, FACTORS, RUN, FIRST_LETTERS = 8192, 4, 24, 5
+TERMS, FACTORS, RUN = 8192, 4, 24
+FIRST_LETTERS = (4, 5)
+LEAST_STEPS = 300
+"""Batches that a fit takes at least, so a small sample is gone over more often."""
+LEAST_ODDS = 1.5
+"""Log odds of a term at least: many weak terms would add up in long texts."""
 FOLDS = 5
 SURPRISE = 4.5
 """Standard deviations by which a term's toxic texts must differ from chance: of a million rare terms, hardly one does."""
@@ -34,8 +39,8 @@ SURPRISE = 4.5
 _U = np.uint64
 
 
-def terms_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of words, of their beginnings, the run of each word, and the first run of each text (and the end)."""
+def terms_of(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Hashes of words and of their beginnings, the run of each word, and the first run of each text (and the end)."""
     lowered = [t.lower() for t in texts]
     points = code_points("".join(lowered))
     offsets = offsets_of([len(t) for t in lowered])
@@ -45,14 +50,14 @@ def terms_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     first[offsets] = True
     starts = np.flatnonzero(letter[1:-1] & (~letter[:-2] | first[:-1]))
     ends = np.flatnonzero(letter[1:-1] & (~letter[2:] | first[1:])) + 1
-    words = span_hashes(points, starts, ends)
-    heads = span_hashes(points, starts, np.minimum(ends, starts + FIRST_LETTERS)) ^ _U(0x5BD1E995)
+    terms = [span_hashes(points, starts, ends)]
+    terms += [span_hashes(points, starts, np.minimum(ends, starts + k)) ^ _U(0x5BD1E995 + k) for k in FIRST_LETTERS]
     bounds = np.searchsorted(starts, offsets)
     runs = np.maximum(1, -(-np.diff(bounds) // RUN))
     first_run = offsets_of(runs)
     text_of = np.repeat(np.arange(len(texts)), np.diff(bounds))
     run = first_run[text_of] + (np.arange(len(starts)) - bounds[text_of]) // RUN
-    return words, heads, run, first_run
+    return terms, run, first_run
 
 
 @dataclass
@@ -79,10 +84,9 @@ class Machine:
 
     def events(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Run and row of every known term, once a run, and the first run of each text (and the end)."""
-        words, heads, run, first_run = terms_of(texts)
-        (a, r), (b, s) = self.find(words), self.find(heads)
+        terms, run, first_run = terms_of(texts)
         size = max(1, len(self.hashes))
-        once = np.unique(np.concatenate([run[a] * size + r, run[b] * size + s]))
+        once = np.unique(np.concatenate([run[place] * size + row for place, row in map(self.find, terms)]))
         return once // size, once % size, first_run
 
     def window_logits(self, run: np.ndarray, row: np.ndarray, first_run: np.ndarray) -> np.ndarray:
@@ -123,9 +127,9 @@ def fit(texts: list[str], label: np.ndarray, rounds: int = 30, seed: int = 0) ->
         return none
     terms, labels = [], []
     for i, j in blocks(texts):
-        words, heads, run, first_run = terms_of(texts[i:j])
-        text_of = np.tile(np.repeat(np.arange(i, j), np.diff(first_run))[run], 2)
-        term = np.concatenate([words, heads])
+        each, run, first_run = terms_of(texts[i:j])
+        text_of = np.tile(np.repeat(np.arange(i, j), np.diff(first_run))[run], len(each))
+        term = np.concatenate(each)
         once = np.unique(mix64(term ^ mix64(text_of.astype(np.uint64))), return_index=True)[1]
         terms.append(term[once])
         labels.append(label[text_of[once]])
@@ -136,20 +140,21 @@ def fit(texts: list[str], label: np.ndarray, rounds: int = 30, seed: int = 0) ->
     odds = np.log((toxic + 4 * rate) / (with_it - toxic + 4 * (1 - rate))) - np.log(rate / (1 - rate))
     surprise = np.abs(toxic - rate * with_it) / np.sqrt(rate * (1 - rate) * with_it)
     keep = np.sort(np.argsort(-surprise, kind="stable")[:TERMS])
-    keep = keep[surprise[keep] >= SURPRISE]
+    keep = keep[(surprise[keep] >= SURPRISE) & (np.abs(odds[keep]) >= LEAST_ODDS)]
     rng = np.random.default_rng(seed)
     machine = Machine(hashes[keep], np.clip(odds[keep], -1, 4), rng.normal(0, 0.01, (len(keep), FACTORS)), -2.0)
-    parts = [machine.events(texts[i:j]) for i, j in blocks(texts)]
-    first_run = offsets_of(np.concatenate([np.diff(f) for _, _, f in parts]))
-    begin = np.cumsum([0, *(int(f[-1]) for _, _, f in parts[:-1])])
-    run, row = np.concatenate([r + b for (r, _, _), b in zip(parts, begin, strict=True)]), np.concatenate([r for _, r, _ in parts])
+    found = [machine.events(texts[i:j]) for i, j in blocks(texts)]
+    first_run = offsets_of(np.concatenate([np.diff(f) for _, _, f in found]))
+    begin = np.cumsum([0, *(int(f[-1]) for _, _, f in found[:-1])])
+    run, row = np.concatenate([r + b for (r, _, _), b in zip(found, begin, strict=True)]), np.concatenate([r for _, r, _ in found])
     n = int(first_run[-1])
     begins = np.searchsorted(run, np.arange(n + 2))
     ends_of = np.repeat(first_run[1:], np.diff(first_run))
     g_w, g_v, g_b = np.full(len(keep), 1e-3), np.full((len(keep), FACTORS), 1e-3), 1.0
-    for _ in range(rounds):
+    parts = max(1, len(texts) // 512)
+    for _ in range(max(rounds, LEAST_STEPS // parts)):
         _, at = _worst(machine.window_logits(run, row, first_run), first_run)
-        for part in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // 512)):
+        for part in np.array_split(rng.permutation(len(texts)), parts):
             a = begins[at[part]]
             b = begins[np.minimum(at[part] + 2, ends_of[at[part]])]
             own = np.repeat(np.arange(len(part)), b - a)
