@@ -96,9 +96,9 @@ def own_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrased(spark: SparkSession, sf_dir: str, phrases: list[str]) -> DataFrame:
-    """(row_id, note): the first words of each text and one of the phrases."""
+    """(row_id, note): each text, whole, and one of the phrases."""
     dealt = F.element_at(F.array(*[F.lit(p) for p in phrases]), (F.col("doc_id") % len(phrases) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("row_id"), F.concat(F.substr("text", F.lit(1), F.lit(60)), F.lit(" "), dealt).alias("note"))
+    return table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("row_id"), F.concat("text", F.lit(" "), dealt).alias("note"))
 
 
 def phrased_sql(phrases: list[str]) -> str:
