@@ -1,11 +1,14 @@
 """Near-duplicate lines by an exact set-similarity join.
 
 A line is the set of its words, which white space separates, in lower case. A
-line of at least LEAST words goes if an earlier line, by doc_id and line
+line of at least `least` words goes if an earlier such line, by doc_id and line
 number, has a Jaccard similarity of 0.8 or more; the first of its kind stays,
-and shorter lines all stay.
+and shorter lines all stay. The query and the pipeline take every line that has
+a word (`least` is 1).
 
-1. Lines of equal sets meet by their hashes; their first is taken on.
+1. Lines of equal sets meet by their hashes; their first is taken on. Sets of
+   fewer than SMALL words are as similar as that to their equals alone, so this
+   settles them, and the next steps leave them out.
 2. Lines that share one of three words picked by hash are compared with the
    first of those that share it. This settles nearly all of a large group of
    near copies at about the group's own size.
@@ -39,6 +42,8 @@ from notewell.llm.arrays import blocks, mix64, offsets_of, span_hashes, word_spa
 from notewell.llm.frames import written
 
 LEAST, PERCENT = 5, 80
+SMALL = 4
+"""Of two unequal sets of which one has fewer words, at most 3 of 4 are shared."""
 BUCKETS = 1 << 16
 PICKED = 3
 SENT_WHOLE = 1_000_000
@@ -126,11 +131,11 @@ def _mapped(docs: DataFrame, schema: str, make) -> DataFrame:
     return docs.where("text IS NOT NULL").select(d.alias("d"), "text").mapInArrow(run, schema)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(d, at, h0, h1, line_hash) of every long line; line_hash is what xxhash64 gives."""
+def _keyed(docs: DataFrame, least: int) -> DataFrame:
+    """(d, at, h0, h1, line_hash) of every line of `least` words; line_hash is what xxhash64 gives."""
 
     def make(texts, ids):
-        block = _Block(texts, LEAST)
+        block = _Block(texts, least)
         lines = [t.split("\n") for t in texts]
         hashes = [xxhash.xxh64_intdigest(lines[t][k].encode("utf-8", "surrogatepass"), 42) for t, k in zip(block.text.tolist(), block.at.tolist(), strict=True)]
         return ids[block.text], block.at, *block.keys(), np.array(hashes, np.uint64).view(np.int64)
@@ -138,11 +143,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return _mapped(docs, _KEYS, make)
 
 
-def _picked(docs: DataFrame) -> DataFrame:
-    """A row for each of a long line's words with the smallest hashes."""
+def _picked(docs: DataFrame, least: int) -> DataFrame:
+    """A row for each of the words with the smallest hashes of a line of `least` words and SMALL at least."""
 
     def make(texts, ids):
-        block = _Block(texts, LEAST)
+        block = _Block(texts, max(least, SMALL))
         line = np.repeat(np.arange(len(block.n)), PICKED)
         place = np.tile(np.arange(PICKED), len(block.n))
         key = block.words[block.begin[line] + place].view(np.int64) if len(block.n) else place
@@ -151,11 +156,11 @@ def _picked(docs: DataFrame) -> DataFrame:
     return _mapped(docs, _ROWS, make)
 
 
-def _postings(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """A row for each word of a long line's prefix, rarest first."""
+def _postings(docs: DataFrame, rarity: np.ndarray, least: int) -> DataFrame:
+    """A row for each word of the prefix, rarest first, of a line of `least` words and SMALL at least."""
 
     def make(texts, ids):
-        block = _Block(texts, LEAST)
+        block = _Block(texts, max(least, SMALL))
         codes = rarity[(block.words & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | block.words >> np.uint64(8)
         line = np.repeat(np.arange(len(block.n)), block.n)
         codes = codes[np.lexsort((codes, line))].view(np.int64)
@@ -223,10 +228,10 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return written(both.where(100 * shared >= PERCENT * (F.size("w") + F.size("w0") - shared)).select("d", "at", "line_hash").distinct())
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(d, at, line_hash): the lines of docs(doc_id, text) that an earlier line repeats."""
+def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """(d, at, line_hash): the lines of docs(doc_id, text), of `least` words or more, that an earlier one repeats."""
     docs = docs.select("doc_id", "text")
-    keyed = _keyed(docs)
+    keyed = _keyed(docs, least)
     groups = written(keyed.groupBy("h0", "h1").agg(F.min(F.struct("d", "at")).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").select("h0", "h1", "first"))
     groups = sent(groups)
     equal = written(keyed.join(groups, ["h0", "h1"]).where("first <> struct(d, at)").select("d", "at", "line_hash"))
@@ -235,14 +240,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         return rows.join(groups, ["h0", "h1"], "left").where("first IS NULL OR first = struct(d, at)").drop("h0", "h1", "first")
 
     # 2. Against the first line that shares a picked word.
-    picked = firsts(_picked(docs))
+    picked = firsts(_picked(docs, least))
     leaders = written(picked.groupBy("key").agg(F.min(F.struct("d", "at", "n", "b0", "b1")).alias("l"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "l.*"))
     met = picked.alias("y").join(leaders.alias("x"), "key").where(_earlier("x", "y") & _possible("x", "y"))
     settled = _verified(met.select("y.d", "y.at", F.col("x.d").alias("d0"), F.col("x.at").alias("at0")), docs)
 
     # 3. The others, against all earlier lines that share a word of the prefixes.
     gone = sent(written(settled.select("d", "at").distinct())).withColumn("settled", F.lit(1))
-    rows = firsts(_postings(docs, _rarity(docs))).join(gone, ["d", "at"], "left")
+    rows = firsts(_postings(docs, _rarity(docs), least)).join(gone, ["d", "at"], "left")
     postings = rows.select("d", "at", "n", "b0", "b1", F.when(F.col("settled").isNull(), 1).otherwise(0).alias("open"), "place", "key")
     x, y = postings.alias("x"), postings.alias("y")
     shortest_place = F.when(F.col("x.n") <= F.col("y.n"), F.col("x.place")).otherwise(F.col("y.place"))
@@ -254,9 +259,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return equal.unionByName(settled).unionByName(_verified(pairs, docs)).distinct()
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs with the lines of text that an earlier line repeats removed, and the number of them in n_removed."""
-    gone = written(repeated_lines(docs).groupBy("d").agg(F.collect_list(F.struct("at", "line_hash")).alias("gone")))
+    gone = written(repeated_lines(docs, least).groupBy("d").agg(F.collect_list(F.struct("at", "line_hash")).alias("gone")))
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     both = docs.withColumn("d", d).join(sent(gone), "d", "left")
     lines = F.split("text", "\n", -1)

@@ -25,7 +25,7 @@ def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notewell.llm.line_dedup import without_repeats
 
-    return without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
