@@ -340,9 +340,10 @@ _OWN_PROBES = "probes AS (SELECT id AS probe_id, repo, note || ' indeed' AS note
 
 
 def _own_probes(spark, d):
+    """Every note twice: with a word more, and in capitals."""
     rows = _memories(spark, d)
-    added = rows.where("row_id % 4 = 0").select(F.col("id").alias("probe_id"), "repo", F.concat("note", F.lit(" indeed")).alias("note"))
-    return added.unionByName(rows.where("row_id % 4 = 1").select(F.col("id").alias("probe_id"), "repo", F.upper("note").alias("note")))
+    capitals = rows.select(F.concat("id", F.lit(":upper")).alias("probe_id"), "repo", F.upper("note").alias("note"))
+    return fx.own_probes(spark, d).unionByName(capitals)
 
 
 _DUPLICATES = f"""exact AS (SELECT p.probe_id, m.row_id, 1.0::DOUBLE AS similarity FROM (SELECT *, {fx.norm_sql('note')} AS n FROM probes) p JOIN memories m ON m.repo = p.repo AND m.note_normalized = p.n WHERE p.n <> ''
@@ -529,7 +530,7 @@ def find_by_any_id(spark, d):
 @query(_with(fx.MEMORIES_SQL, f"""SELECT repo, type, note, tags, pinned, updated_at FROM memories UNION ALL
  SELECT 'corpus/en', 'decision', text || ' today (today = {fx.DAY})', '["Chat","b"]', 0, {fx.NOW} FROM conversations WHERE role = 'user' AND NOT regexp_matches(lower(text), '\\b(yesterday|today|tomorrow)\\b')"""))
 def insert_memory(spark, d):
-    said = fx.incoming(spark, d).where("seq >= 0").where(~F.lower("note").rlike(r"\b(yesterday|today|tomorrow)\b"))
+    said = fx.incoming(spark, d).where("seq >= 0")
     new = said.withColumn("note", F.concat("note", F.lit(" today"))).withColumn("repo", F.lit("corpus/en")).withColumn("type", F.lit("decision")).withColumn("tags", F.array(F.lit(" Chat"), F.lit("b"), F.lit(""), F.lit("b")))
     after = memory.stored(_memories(spark, d), new, fx.NOW, F.to_date(F.lit(fx.DAY)))
     return after.select("repo", "type", "note", "tags", "pinned", "updated_at")

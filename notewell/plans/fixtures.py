@@ -107,9 +107,9 @@ def phrased_sql(phrases: list[str]) -> str:
 
 
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What users say in conversations, as notes to remember; every third is a note that is there already, but for its case."""
+    """What users say in conversations, as notes to remember, and every note that is there already, but for its case."""
     said = table(spark, sf_dir, "conversations").where("role = 'user'")
     repo = F.element_at(F.array(*[F.lit(f"corpus/{x}") for x in ("de", "en", "es", "fr")]), (F.col("conv_id") % 4 + 1).cast("int"))
     new = said.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.lit(None).cast("string").alias("id"), repo.alias("repo"), F.lit(None).cast("string").alias("type"), F.col("text").alias("note"), F.array(F.lit("Chat")).alias("tags"))
-    old = memories(spark, sf_dir).where("row_id % 3 = 0").select((-F.col("row_id")).alias("seq"), F.lit(None).cast("string").alias("id"), "repo", F.lit(None).cast("string").alias("type"), F.upper("note").alias("note"), F.array(F.lit("Again")).alias("tags"))
+    old = memories(spark, sf_dir).select((-F.col("row_id")).alias("seq"), F.lit(None).cast("string").alias("id"), "repo", F.lit(None).cast("string").alias("type"), F.upper("note").alias("note"), F.array(F.lit("Again")).alias("tags"))
     return new.unionByName(old)
