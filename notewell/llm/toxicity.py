@@ -30,8 +30,6 @@ TERMS, FACTORS, RUN = 8192, 4, 24
 FIRST_LETTERS = (4, 5)
 LEAST_STEPS = 300
 """Batches that a fit takes at least, so a small sample is gone over more often."""
-LEAST_ODDS = 1.5
-"""Log odds of a term at least: many weak terms would add up in long texts."""
 FOLDS = 5
 SURPRISE = 4.5
 """Standard deviations by which a term's toxic texts must differ from chance: of a million rare terms, hardly one does."""
@@ -120,7 +118,7 @@ def _worst(values: np.ndarray, first_run: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def fit(texts: list[str], label: np.ndarray, rounds: int = 30, seed: int = 0) -> Machine:
-    """Terms that tell the labels apart are kept; then each text's worst window is fitted by AdaGrad."""
+    """Terms whose texts' labels differ from chance are kept; then each text's worst window is fitted by AdaGrad."""
     none = Machine(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)), -100.0)
     positives = int(label.sum())
     if not positives or positives == len(label):
@@ -140,7 +138,7 @@ def fit(texts: list[str], label: np.ndarray, rounds: int = 30, seed: int = 0) ->
     odds = np.log((toxic + 4 * rate) / (with_it - toxic + 4 * (1 - rate))) - np.log(rate / (1 - rate))
     surprise = np.abs(toxic - rate * with_it) / np.sqrt(rate * (1 - rate) * with_it)
     keep = np.sort(np.argsort(-surprise, kind="stable")[:TERMS])
-    keep = keep[(surprise[keep] >= SURPRISE) & (np.abs(odds[keep]) >= LEAST_ODDS)]
+    keep = keep[surprise[keep] >= SURPRISE]  # however weak alone: a term may weigh in a pair
     rng = np.random.default_rng(seed)
     machine = Machine(hashes[keep], np.clip(odds[keep], -1, 4), rng.normal(0, 0.01, (len(keep), FACTORS)), -2.0)
     found = [machine.events(texts[i:j]) for i, j in blocks(texts)]
