@@ -11,6 +11,7 @@ from notewell.functions import inference, temporal, text, urls
 from notewell.operators import context, dedupe, fts, keys, memory, reports, search, vectors
 from notewell.plans import fixtures as fx
 from notewell.plans import oracles as sql
+from notewell.sources.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -193,7 +194,7 @@ _NEAR = f"""near AS (SELECT m.repo, m.row_id, {_COSINE.format(a='v.vector', b='q
 @query(_with(fx.MEMORIES_SQL, fx.VECTORS_SQL, _NEAR, "SELECT repo, row_id, place, round(score, 6) AS score FROM knn WHERE place <= 10"))
 def vector_knn(spark, d):
     found = vectors.neighbours(fx.query_vector(spark, d), _memories(spark, d), fx.vectors(spark, d), 64, 1000, 10)
-    return found.select("repo", "row_id", "place", F.round("score", 6).alias("score"))
+    return found.select("query_id", "repo", "row_id", "place", F.round("score", 6).alias("score"))
 
 
 _FUSED = """SELECT repo, row_id, rank, spot AS place FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, first, row_id) AS spot FROM
@@ -203,10 +204,19 @@ _FUSED = """SELECT repo, row_id, rank, spot AS place FROM (SELECT *, row_number(
 
 @query(_with(fx.MEMORIES_SQL, fx.VECTORS_SQL, sql.fts({0: ["of the", "and"]}), f"kw AS ({_KEYWORDS.format(limit=8)})", _NEAR, _spot(8, _FUSED), "SELECT repo, spot AS place, row_id, source, round(rank, 6) AS rank FROM context"))
 def context_hybrid_rrf(spark, d):
-    rows = _memories(spark, d)
-    near = vectors.neighbours(fx.query_vector(spark, d), rows, fx.vectors(spark, d), 64, 1000, 8)
-    both = context.fused(context.keyword_list(rows, f"{PHRASE} and", 8), near, 8)
-    return context.assembled(rows, 8, both).select("repo", "place", "row_id", "source", F.round("rank", 6).alias("rank"))
+    """Each query has a context of its own in each repo: a key of both stands for the repo."""
+    rows, asked = _memories(spark, d), fx.query_vector(spark, d)
+    key = F.struct("query_id", "repo").alias("repo")
+
+    def each(found: DataFrame) -> DataFrame:
+        return found.crossJoin(F.broadcast(asked.select("query_id"))).select(key, *[c for c in found.columns if c != "repo"])
+
+    near = vectors.neighbours(asked, rows, fx.vectors(spark, d), 64, 1000, 8)
+    both = written(context.fused(each(context.keyword_list(rows, f"{PHRASE} and", 8)), near.withColumn("repo", key), 8))
+    # Only rows that some list has are dealt to the queries.
+    listed = context.newest(rows, 1, 8).select("row_id").unionByName(context.newest(rows, 0, 8).select("row_id")).unionByName(both.select("row_id"))
+    found = context.assembled(each(written(rows.join(listed.distinct(), "row_id", "left_semi"))), 8, both)
+    return found.select("repo.query_id", "repo.repo", "place", "row_id", "source", F.round("rank", 6).alias("rank"))
 
 
 # Keyword search
@@ -257,7 +267,7 @@ _CASCADE = f"""scoped AS (SELECT f.*, a.repo AS wanted FROM found f JOIN asked a
 
 def _cascade(spark, d):
     rows, asked = _memories(spark, d), _asked(spark)
-    near = vectors.neighbours(fx.query_vector(spark, d), rows, fx.vectors(spark, d), 64, 1000, 5).drop("query_id")
+    near = vectors.neighbours(fx.query_vector(spark, d).where("query_id = 0"), rows, fx.vectors(spark, d), 64, 1000, 5).drop("query_id")
     near = near.join(asked.where("repo IS NOT NULL AND query_id <> 4").select("query_id", "repo"), "repo")
     return search.cascade(asked, rows, 5, near), rows, asked
 

@@ -76,7 +76,8 @@ VECTORS_SQL = f"vectors AS (SELECT vec_id + 1 AS memory_rowid, 64 AS dim, 1000 A
 
 
 def query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.lit(0).alias("query_id"), F.col("embedding").alias("vector"))
+    """(query_id, vector): every vector whose number is divisible by 100."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
