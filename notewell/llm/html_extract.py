@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from notewell.llm.frames import written
 
 PATHS_A_HOST = 8
-"""Winning paths that a host's pages are tried with; a page without any uses its own best container."""
+"""Winning paths that a host's pages are tried with; a page without any uses all containers with the path of its own best one."""
 
 # Elements of HTML by their role.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -196,7 +196,7 @@ def extract(page: str, paths: list[str]) -> str:
             break
     else:
         own = best(boxes)
-        chosen = [own] if own else []
+        chosen = by_path[own.path] if own else []
     if not chosen:
         return " ".join(blocks)
     out, done = [], 0
