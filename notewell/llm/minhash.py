@@ -8,11 +8,11 @@ within that distance are confirmed on the full shingle sets. At the similarity
 probability under 1e-5.
 
 Documents with the same set form a class and take part once. In each index
-bucket all are compared with the bucket's first; then, in buckets whose
+bucket all are compared with the bucket's first; then, of buckets whose
 documents are still in several components, those of different components are
-compared with each other, as far as the shingles that they share with any
-other document allow a link at all. So a large group of near copies costs about
-its own size, and no link between components is lost.
+compared that share one of their rarest shingles, as linked ones must. So a
+large group of near copies costs about its own size, and no link between
+components is lost.
 
 Defined results: a null text is the empty text; a document without words links
 with nothing; rows that share a doc_id are one document, which has the links of
@@ -160,20 +160,30 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return placed.join(written(mixed), "key", "left_semi")
 
 
-def _room(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, n, most): each document's set size, and the largest set that it can be similar to.
+def _crowded(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): the pairs of nodes(node, component) in different components whose shingle sets allow the similarity.
 
-    Only shingles that another of the documents has can be shared, and similar
-    sets share a certain part of both their sizes. So a document with too many
-    shingles of its own meets no other, and a large group of copies with
-    changes of their own isn't compared pair by pair.
+    Each document's shingles are ordered, first those that no other component
+    has, which no pair can share, then by rarity. Similar sets share one of the
+    first ones, at a place that leaves enough behind it. So a document with
+    many changes of its own meets no other, and a large group of such copies
+    isn't compared pair by pair.
     """
     sets = written(_sets(docs, nodes.select(F.col("node").alias("doc_id")), words))
-    each = sets.select("node", F.explode("shingles").alias("shingle"))
-    shared = written(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("shingle"))
-    counted = each.join(shared, "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
-    most = F.floor(F.col("shared") * (100 + percent) / percent).cast("long") - F.col("n")
-    return sets.select("node", F.size("shingles").cast("long").alias("n")).join(counted, "node").select("node", "n", most.alias("most"))
+    each = sets.join(nodes, "node").select("node", "component", F.explode("shingles").alias("shingle"))
+    spread = each.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("many"))
+    shared = written(spread.where("low <> high").select("shingle", "many"))
+    ordered = each.join(shared, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("many", "shingle"))).alias("shared"))
+    sized = sets.select("node", F.size("shingles").cast("long").alias("n")).join(nodes, "node").join(ordered, "node")
+    own = F.col("n") - F.size("shared")
+    reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    first = sized.where(own < reach).select("node", "component", "n", own.alias("own"), F.posexplode(F.slice("shared", F.lit(1), (reach - own).cast("int"))).alias("at", "found"))
+    postings = written(first.select(F.col("found.shingle").alias("shingle"), "node", "component", "n", (F.col("own") + F.col("at")).alias("place")))
+    x, y = postings.alias("x"), postings.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    room = F.least(n - F.col("x.place"), m - F.col("y.place"))
+    possible = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * room >= percent * (n + m))
+    return x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & possible).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -188,13 +198,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = confirmed(_within(spokes, classes, percent), docs, words, percent)
     found = written(components(links))
     # Buckets of three and more whose documents are not all in one component.
-    placed = members.where("many > 2").join(found, "node", "left").select("key", "node", "a", F.coalesce("component", "node").alias("component"))
-    placed = written(_mixed(placed))
-    room = _room(docs, placed.select("node").distinct(), words, percent)
-    placed = written(_mixed(placed.join(room, "node").where(100 * F.col("most") >= percent * F.col("n"))))
-    left = placed.where("node <> a").select("key", F.col("node").alias("x"), F.col("component").alias("c"), F.col("n").alias("n_x"), F.col("most").alias("most_x"))
-    both = left.join(left.toDF("key", "y", "d", "n_y", "most_y"), "key").where("x < y AND c <> d AND n_x <= most_y AND n_y <= most_x")
-    more = confirmed(_within(both.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), classes, percent), docs, words, percent)
+    placed = members.where("many > 2").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    nodes = written(_mixed(placed).select("node", "component").distinct())
+    more = confirmed(_within(_crowded(docs, nodes, words, percent), classes, percent), docs, words, percent)
     found = components(links.unionByName(more))
     # Copies follow their class.
     of_class = classes.drop("signature").join(found, "node", "left").select("n_shingles", "key_a", "key_b", F.coalesce("component", "node").alias("component"))
