@@ -97,15 +97,15 @@ def identifier_tags(spark, d):
     return fx.phrased(spark, d, fx.CUED).select("row_id", F.array_join(inference.identifier_tags(F.col("note")), "|").alias("tags"))
 
 
-@query(_with(fx.phrased_sql(fx.CUED), f"SELECT row_id, array_to_string({sql.salient_words('note')}, '|') AS words FROM phrased"))
+@query(_with(fx.phrased_sql(fx.CUED), sql.salient_words("phrased"), "SELECT row_id, array_to_string(words, '|') AS words FROM salient"))
 def salient_words(spark, d):
     return fx.phrased(spark, d, fx.CUED).select("row_id", F.array_join(inference.salient_words(F.col("note")), "|").alias("words"))
 
 
-_ALL_TAGS = f"list_concat({sql.keyword_tags('note')}, list_concat({sql.identifier_tags('note')}, {sql.salient_words('note')}))"
+_ALL_TAGS = f"list_concat({sql.keyword_tags('note')}, list_concat({sql.identifier_tags('note')}, words))"
 
 
-@query(_with(fx.phrased_sql(fx.CUED), f"t AS (SELECT row_id, {_ALL_TAGS} AS a FROM phrased)", f"SELECT row_id, array_to_string(list_slice({sql.first_of('a')}, 1, 5), '|') AS tags FROM t"))
+@query(_with(fx.phrased_sql(fx.CUED), sql.salient_words("phrased"), f"t AS (SELECT row_id, {_ALL_TAGS} AS a FROM phrased JOIN salient USING (row_id))", f"SELECT row_id, array_to_string(list_slice({sql.first_of('a')}, 1, 5), '|') AS tags FROM t"))
 def infer_tags(spark, d):
     return fx.phrased(spark, d, fx.CUED).select("row_id", F.array_join(inference.inferred_tags(F.col("note")), "|").alias("tags"))
 
@@ -187,22 +187,32 @@ def context_with_query(spark, d):
 
 
 _COSINE = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
-_NEAR = f"""near AS (SELECT m.repo, m.row_id, {_COSINE.format(a='v.vector', b='q.embedding')} AS score FROM vectors v JOIN memories m ON m.row_id = v.memory_rowid, (SELECT embedding FROM embeddings WHERE vec_id = 0) q),
- knn AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, row_id) AS place FROM near WHERE score > 0)"""
+_NEAR = f"""near AS (SELECT q.vec_id AS query_id, m.repo, m.row_id, {_COSINE.format(a='v.vector', b='q.embedding')} AS score FROM vectors v JOIN memories m ON m.row_id = v.memory_rowid, (SELECT vec_id, embedding FROM embeddings WHERE {{which}}) q),
+ knn AS (SELECT *, row_number() OVER (PARTITION BY query_id, repo ORDER BY score DESC, row_id) AS place FROM near WHERE score > 0)"""
+_EVERY, _ZERO = _NEAR.format(which="vec_id % 100 = 0"), _NEAR.format(which="vec_id = 0")
 
 
-@query(_with(fx.MEMORIES_SQL, fx.VECTORS_SQL, _NEAR, "SELECT repo, row_id, place, round(score, 6) AS score FROM knn WHERE place <= 10"))
+@query(_with(fx.MEMORIES_SQL, fx.VECTORS_SQL, _EVERY, "SELECT query_id, repo, row_id, place, round(score, 6) AS score FROM knn WHERE place <= 10"))
 def vector_knn(spark, d):
     found = vectors.neighbours(fx.query_vector(spark, d), _memories(spark, d), fx.vectors(spark, d), 64, 1000, 10)
     return found.select("query_id", "repo", "row_id", "place", F.round("score", 6).alias("score"))
 
 
-_FUSED = """SELECT repo, row_id, rank, spot AS place FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, first, row_id) AS spot FROM
- (SELECT repo, row_id, max(rank) AS rank, sum(1.0::DOUBLE / (60 + place)) AS score, min(list * 1000 + place) AS first FROM
- (SELECT repo, row_id, place, rank, 0 AS list FROM kw UNION ALL SELECT repo, row_id, place, NULL, 1 FROM knn WHERE place <= 8) GROUP BY repo, row_id)) WHERE spot <= 8"""
+_FUSED = """fused AS (SELECT query_id, repo, row_id, rank, row_number() OVER (PARTITION BY query_id, repo ORDER BY score DESC, first, row_id) AS place FROM
+ (SELECT query_id, repo, row_id, max(rank) AS rank, sum(1.0::DOUBLE / (60 + place)) AS score, min(list * 1000 + place) AS first FROM
+ (SELECT query_id, repo, row_id, place, rank, 0 AS list FROM kw, asked UNION ALL SELECT query_id, repo, row_id, place, NULL, 1 FROM knn WHERE place <= 8) GROUP BY ALL) QUALIFY place <= 8)"""
 
 
-@query(_with(fx.MEMORIES_SQL, fx.VECTORS_SQL, sql.fts({0: ["of the", "and"]}), f"kw AS ({_KEYWORDS.format(limit=8)})", _NEAR, _spot(8, _FUSED), "SELECT repo, spot AS place, row_id, source, round(rank, 6) AS rank FROM context"))
+def _each_context(limit: int) -> str:
+    """contexts(query_id, repo, spot, row_id, source, rank) of the lists in fused, one for each query and repo."""
+    return f"""lists AS (SELECT query_id, repo, row_id, place, 0 AS part, NULL::DOUBLE AS rank FROM ({_PINNED}), asked WHERE place <= {limit} UNION ALL SELECT query_id, repo, row_id, place, 2, NULL FROM ({_RECENT}), asked WHERE place <= {limit}
+   UNION ALL SELECT query_id, repo, row_id, place, 1, rank FROM fused WHERE repo NOT IN (SELECT repo FROM memories WHERE pinned = 1 GROUP BY repo HAVING count(*) >= {limit})),
+ once AS (SELECT * FROM lists QUALIFY row_number() OVER (PARTITION BY query_id, row_id ORDER BY part, place) = 1),
+ texts AS (SELECT o.*, note_normalized FROM once o JOIN memories USING (row_id) QUALIFY row_number() OVER (PARTITION BY query_id, o.repo, CASE WHEN note_normalized = '' THEN '#' || row_id ELSE note_normalized END ORDER BY part, place) = 1),
+ contexts AS (SELECT query_id, repo, row_id, rank, ['pinned', 'search', 'recent'][part + 1] AS source, row_number() OVER (PARTITION BY query_id, repo ORDER BY part, place) AS spot FROM texts QUALIFY spot <= {limit})"""
+
+
+@query(_with(fx.MEMORIES_SQL, fx.VECTORS_SQL, sql.fts({0: ["of the", "and"]}).replace("asked", "wanted"), f"kw AS ({_KEYWORDS.format(limit=8).replace('asked', 'wanted')})", "asked AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 100 = 0)", _EVERY, _FUSED, _each_context(8), "SELECT query_id, repo, spot AS place, row_id, source, round(rank, 6) AS rank FROM contexts"))
 def context_hybrid_rrf(spark, d):
     """Each query has a context of its own in each repo: a key of both stands for the repo."""
     rows, asked = _memories(spark, d), fx.query_vector(spark, d)
@@ -260,7 +270,7 @@ def fts_phrase_search(spark, d):
 _CASCADE = f"""scoped AS (SELECT f.*, a.repo AS wanted FROM found f JOIN asked a USING (query_id) JOIN memories m USING (row_id) WHERE a.repo IS NULL OR a.repo = m.repo),
  levels AS (SELECT query_id, row_id, 1 AS level, rank FROM scoped WHERE matched = asked UNION ALL SELECT query_id, row_id, 2, rank FROM scoped WHERE asked > 1),
  placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, level ORDER BY rank, row_id) AS place FROM levels QUALIFY place <= 5
-   UNION ALL SELECT query_id, k.row_id, 3, k.score, k.place FROM asked a JOIN knn k ON k.repo = a.repo WHERE place <= 5 AND query_id <> 4
+   UNION ALL SELECT a.query_id, k.row_id, 3, k.score, k.place FROM asked a JOIN knn k ON k.repo = a.repo WHERE place <= 5 AND a.query_id <> 4
    UNION ALL SELECT query_id, c.row_id, 4, 0.0, c.spot FROM asked a JOIN context c ON c.repo = a.repo),
  best AS (SELECT p.* FROM placed p JOIN (SELECT query_id, min(level) AS level FROM placed GROUP BY 1) USING (query_id, level))"""
 
@@ -272,7 +282,7 @@ def _cascade(spark, d):
     return search.cascade(asked, rows, 5, near), rows, asked
 
 
-@query(_with(fx.MEMORIES_SQL, fx.VECTORS_SQL, ASKED_SQL, sql.fts(QUERY_PHRASES), _NEAR, _spot(5), _CASCADE, "SELECT query_id, row_id, level, round(rank, 6) AS rank, place FROM best"))
+@query(_with(fx.MEMORIES_SQL, fx.VECTORS_SQL, ASKED_SQL, sql.fts(QUERY_PHRASES), _ZERO, _spot(5), _CASCADE, "SELECT query_id, row_id, level, round(rank, 6) AS rank, place FROM best"))
 def search_cascade(spark, d):
     return _cascade(spark, d)[0].select("query_id", "row_id", "level", F.round("rank", 6).alias("rank"), "place")
 
@@ -281,7 +291,7 @@ _TAGS = "split_part(tags, chr(34), 2) || ', ' || split_part(tags, chr(34), 4)"
 _PIN = f"CASE WHEN pinned = 1 THEN '{reports.PIN}Pinned ' ELSE '' END"
 
 
-@query(_with(fx.MEMORIES_SQL, fx.VECTORS_SQL, ASKED_SQL, sql.fts(QUERY_PHRASES), _NEAR, _spot(5), _CASCADE, f"""
+@query(_with(fx.MEMORIES_SQL, fx.VECTORS_SQL, ASKED_SQL, sql.fts(QUERY_PHRASES), _ZERO, _spot(5), _CASCADE, f"""
  lists AS (SELECT query_id, any_value(level) AS level, string_agg(place || '. [' || repo || '] ' || type || ' (' || row_id || ' | legacy: ' || id || ')' || chr(10) || {_PIN} || note || ' | tags: ' || {_TAGS}, chr(10) || chr(10) ORDER BY place) AS lines FROM best JOIN memories USING (row_id) GROUP BY 1),
  said AS (SELECT query_id, level, lines, '"' || query || '"' || CASE WHEN repo IS NULL THEN '' ELSE ' in ' || repo END AS q FROM asked LEFT JOIN lists USING (query_id))
 """.replace("lists AS", "shown AS").replace("LEFT JOIN lists", "LEFT JOIN shown"), """SELECT query_id, CASE WHEN lines IS NULL THEN 'No memories matched ' || q || '.' WHEN level = 4 THEN 'No exact match for ' || q || '; showing recent + pinned context:' || chr(10) || chr(10) || lines
@@ -346,7 +356,7 @@ def pair_similarity(spark, d):
     return dedupe.compared(fx.probes(spark, d), _memories(spark, d)).select("probe_id", "row_id", "place", F.round("similarity", 6).alias("similarity"))
 
 
-_OWN_PROBES = "probes AS (SELECT id AS probe_id, repo, note || ' indeed' AS note FROM memories WHERE row_id % 4 = 0 UNION ALL SELECT id, repo, upper(note) FROM memories WHERE row_id % 4 = 1)"
+_OWN_PROBES = "probes AS (SELECT id AS probe_id, repo, note || ' indeed' AS note FROM memories UNION ALL SELECT id || ':upper', repo, upper(note) FROM memories)"
 
 
 def _own_probes(spark, d):
@@ -358,11 +368,14 @@ def _own_probes(spark, d):
 
 _DUPLICATES = f"""exact AS (SELECT p.probe_id, m.row_id, 1.0::DOUBLE AS similarity FROM (SELECT *, {fx.norm_sql('note')} AS n FROM probes) p JOIN memories m ON m.repo = p.repo AND m.note_normalized = p.n WHERE p.n <> ''
    QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY updated_at DESC, row_id) = 1),
- near_ AS (SELECT probe_id, row_id, similarity FROM compared WHERE similarity >= 0.82 QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY similarity DESC, place) = 1),
+ words_ AS (SELECT probe_id, cc.row_id, place, pp.n AS pn, cc.n AS cn, {sql.jaccard('pp.w', 'cc.w')} AS of_words FROM pp JOIN cc ON pp.repo = cc.repo WHERE pp.n <> '' AND probe_id NOT IN (SELECT probe_id FROM exact) AND least(len(pp.w), len(cc.w)) >= 0.67 * greatest(len(pp.w), len(cc.w))),
+ grams AS (SELECT probe_id, row_id, place, of_words, {sql.trigrams('pn')} AS pg, {sql.trigrams('cn')} AS cg FROM words_ WHERE of_words >= 0.67),
+ near_ AS (SELECT probe_id, row_id, 0.55::DOUBLE * of_words + 0.45::DOUBLE * ({sql.jaccard('pg', 'cg')}) AS similarity FROM grams WHERE similarity >= 0.82 QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY similarity DESC, place) = 1),
  dups AS (SELECT * FROM exact UNION ALL SELECT * FROM near_ WHERE probe_id NOT IN (SELECT probe_id FROM exact))"""
 
 
-@query(_with(*_compared(_OWN_PROBES), _DUPLICATES, "SELECT probe_id, row_id, round(similarity, 6) AS similarity FROM dups"))
+# Words alone must be alike by 0.67 for a similarity of 0.82; only then are trigrams made.
+@query(_with(fx.MEMORIES_SQL, _OWN_PROBES, _CANDIDATES, f"pp AS (SELECT *, list_distinct({sql.tokens('n')}) AS w FROM (SELECT *, {fx.norm_sql('note')} AS n FROM probes))", f"cc AS (SELECT *, list_distinct({sql.tokens('n')}) AS w FROM (SELECT *, note_normalized AS n FROM candidates))", _DUPLICATES, "SELECT probe_id, row_id, round(similarity, 6) AS similarity FROM dups"))
 def find_duplicate(spark, d):
     return dedupe.duplicates(_own_probes(spark, d), _memories(spark, d)).select("probe_id", "row_id", F.round("similarity", 6).alias("similarity"))
 
@@ -537,8 +550,8 @@ def find_by_any_id(spark, d):
     return memory.by_any_id(asked, _memories(spark, d))
 
 
-@query(_with(fx.MEMORIES_SQL, f"""SELECT repo, type, note, tags, pinned, updated_at FROM memories UNION ALL
- SELECT 'corpus/en', 'decision', text || ' today (today = {fx.DAY})', '["Chat","b"]', 0, {fx.NOW} FROM conversations WHERE role = 'user' AND NOT regexp_matches(lower(text), '\\b(yesterday|today|tomorrow)\\b')"""))
+@query(_with(fx.MEMORIES_SQL, "said AS (SELECT text || ' today' AS note FROM conversations WHERE role = 'user')", f"t AS (SELECT note, list_filter({sql.dates_sql('note', fx.DAY)}, lambda x: NOT contains(note, x)) AS p FROM said)", f"""SELECT repo, type, note, tags, pinned, updated_at FROM memories UNION ALL
+ SELECT 'corpus/en', 'decision', CASE WHEN len(p) > 0 THEN note || ' (' || array_to_string(p, '; ') || ')' ELSE note END, '["Chat","b"]', 0, {fx.NOW} FROM t"""))
 def insert_memory(spark, d):
     said = fx.incoming(spark, d).where("seq >= 0")
     new = said.withColumn("note", F.concat("note", F.lit(" today"))).withColumn("repo", F.lit("corpus/en")).withColumn("type", F.lit("decision")).withColumn("tags", F.array(F.lit(" Chat"), F.lit("b"), F.lit(""), F.lit("b")))

@@ -104,7 +104,7 @@ def phrased(spark: SparkSession, sf_dir: str, phrases: list[str]) -> DataFrame:
 
 def phrased_sql(phrases: list[str]) -> str:
     quoted = ", ".join("'" + p.replace("'", "''") + "'" for p in phrases)
-    return f"phrased AS (SELECT doc_id + 1 AS row_id, concat(substr(text, 1, 60), ' ', [{quoted}][doc_id % {len(phrases)} + 1]) AS note FROM documents)"
+    return f"phrased AS (SELECT doc_id + 1 AS row_id, concat(text, ' ', [{quoted}][doc_id % {len(phrases)} + 1]) AS note FROM documents)"
 
 
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:

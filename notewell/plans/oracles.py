@@ -80,11 +80,12 @@ def identifier_tags(text: str) -> str:
     return first_of(f"list_filter(list_transform(list_concat({paths}, {files}), lambda t: lower(t)), lambda t: length(t) >= 3)")
 
 
-def salient_words(text: str) -> str:
+def salient_words(source: str) -> str:
+    """salient(row_id, words) of source(row_id, note): the eight words that a note has most often."""
     stop = ", ".join(quoted(w) for w in rules.STOP_WORDS if len(w) >= 4)
-    words = rf"list_filter(regexp_split_to_array(regexp_replace(lower({text}), '[^a-z0-9\s/_-]', ' ', 'g'), '\s+'), lambda w: length(w) >= 4 AND NOT list_contains([{stop}], w))"
-    rated = f"list_transform(list_distinct({words}), lambda w: {{'c': -len(list_filter({words}, lambda x: x = w)), 'o': translate(w, '_-/', concat(chr(1), chr(2), chr(3))), 'w': w}})"
-    return f"list_transform(list_slice(list_sort({rated}), 1, 8), lambda r: r.w)"
+    return rf"""salient AS (SELECT row_id, coalesce(words, []) AS words FROM {source} LEFT JOIN (SELECT row_id, list(w ORDER BY n DESC, translate(w, '_-/', concat(chr(1), chr(2), chr(3))), w) AS words FROM
+ (SELECT row_id, w, count(*) AS n FROM (SELECT row_id, unnest(regexp_split_to_array(regexp_replace(lower(note), '[^a-z0-9\s/_-]', ' ', 'g'), '\s+')) AS w FROM {source})
+  WHERE length(w) >= 4 AND w NOT IN ({stop}) GROUP BY row_id, w QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY n DESC, translate(w, '_-/', concat(chr(1), chr(2), chr(3))), w) <= 8) GROUP BY row_id) USING (row_id))"""
 
 
 def first_of(items: str) -> str:
