@@ -7,9 +7,10 @@ Python loop touches a character.
 
 from __future__ import annotations
 
-import unicodedata
+from functools import lru_cache
 
 import numpy as np
+import tiktoken
 
 BLOCK_CHARS = 1 << 19
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -83,13 +84,21 @@ def code_points(joined: str) -> np.ndarray:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+@lru_cache(maxsize=2)
+def _only(pattern: str) -> tiktoken.Encoding:
+    """Keeps the characters of a text that match, byte by byte: what tiktoken's own tables say of them."""
+    return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+
+
 def classes(points: np.ndarray) -> np.ndarray:
     """White space, letter, number or other, for each code point."""
     out = _CLASS[points]
     if not out.all():
-        for p in np.unique(points[out == 0]).tolist():
-            kind = unicodedata.category(chr(p))[0]
-            _CLASS[p] = LETTER if kind == "L" else NUMBER if kind == "N" else OTHER
+        new = np.unique(points[out == 0])
+        _CLASS[new] = OTHER
+        joined = "".join(chr(p) for p in new.tolist() if not 0xD800 <= p < 0xE000)
+        for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
+            _CLASS[code_points(bytes(_only(pattern).encode_ordinary(joined)).decode())] = kind
         out = _CLASS[points]
     return out
 

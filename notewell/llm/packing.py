@@ -7,6 +7,9 @@ is loose, those bins' pieces are exchanged with other partitions and packed
 again, in fewer and fewer partitions. A round's pieces are a small share of the
 round before, so the last one fits in one task.
 
+Names of special tokens in a text are ordinary text, as the library has it with
+encode_special_tokens set.
+
 Defined results: a null text is the empty text, of one end id; repeated rows
 are packed one by one; an empty table gives no rows; columns beside doc_id and
 text are ignored.
