@@ -7,8 +7,9 @@ neighbours of sampled queries are looked up in the order of the walk, and the
 walk is widened until it meets the target share of them; it goes on while the
 leaves met hold too few vectors. Within the leaves the nearness is exact.
 
-Leaves and their queries are dealt into blocks of bounded size, so equal or
-crowded vectors don't meet in one task.
+Neighbouring leaves share a shelf of bounded size, a crowded leaf is dealt into
+several blocks, and a shelf's visitors into parties, so equal or crowded vectors
+don't meet in one task. A shelf is copied for its own parties alone.
 
 Defined results: vectors that are null, empty or zero, have null or non-finite
 components, or another dimension than most, take no part; rows without vec_id
@@ -33,8 +34,9 @@ from notewell.llm.frames import written
 
 SAMPLE = 20_000
 """Most vectors that the tree is fitted on."""
-BRANCHES, LEAF_ROWS, MOST_LEAVES = 8, 1024, 1024
-PROBES, TARGET = 300, 0.97
+BRANCHES, LEAF_ROWS, MOST_LEAVES = 8, 128, 2048
+"""Of the tree: children of a node, rows that a leaf is meant to hold, and leaves at most, by the size of the sample."""
+PROBES, TARGET = 500, 0.98
 """Sampled queries for the calibration, and the share of their neighbours to be met."""
 MEMBERS_A_BLOCK, QUERIES_A_BLOCK = 16_384, 1024
 SPARE = 4
@@ -108,7 +110,7 @@ class Tree:
                 heapq.heappush(queue, (distance, child))
 
 
-def fit(vectors: np.ndarray, rows: int, k: int, seed: int = 0) -> Tree:
+def fit(vectors: np.ndarray, rows: int, k: int, seed: int = 0, leaf_rows: int = LEAF_ROWS) -> Tree:
     """A tree for a table of that many rows, and the leaves to visit, from sampled vectors."""
     rng = np.random.default_rng(seed)
     tree = Tree()
@@ -116,7 +118,7 @@ def fit(vectors: np.ndarray, rows: int, k: int, seed: int = 0) -> Tree:
         tree.leaves = 1
         return tree
     points = unit(vectors)
-    leaves = min(MOST_LEAVES, max(1, rows // LEAF_ROWS))
+    leaves = min(MOST_LEAVES, max(1, rows // leaf_rows))
     tree.grow(points, max(1, len(points) // leaves), rng)
     leaf = tree.leaf_of(points)
     probes = rng.choice(len(points), min(PROBES, len(points)), replace=False)
@@ -146,36 +148,67 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def _shelves(held_by: list[int], most: int) -> tuple[list[int], list[int]]:
+    """The shelf of each leaf, and the blocks of each shelf: runs of leaves with `most` members at most, or one leaf in several blocks."""
+    shelf, blocks, room = [], [], 0
+    for n in held_by:
+        if n > room:
+            blocks.append(max(1, math.ceil(n / most)))
+            room = most if n <= most else 0
+        shelf.append(max(0, len(blocks) - 1))
+        room -= min(n, room)
+    return shelf, blocks or [1]
+
+
+_FOUND = {"query_id": "int64", "vec_id": "int64", "score": "float64"}
+
+
+def _top(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best different ids of each query, best first; of equal scores those with smaller ids."""
+    order = np.lexsort((ids, -score, query))
+    pairs = np.rec.fromarrays([query[order], ids[order]])
+    order = order[np.sort(np.unique(pairs, return_index=True)[1])]
+    starts = np.flatnonzero(np.append(True, query[order][1:] != query[order][:-1])) if len(order) else order
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return order[rank < k]
+
+
 def _best(queries: pd.DataFrame, members: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest members of each query, from exact cosines; of equal ones those with smaller ids."""
+    """The k nearest members of each query in the leaves that it visits, from exact cosines."""
     out = []
     if len(queries) and len(members):
-        q = np.frombuffer(b"".join(queries["vector"]), np.float64).reshape(len(queries), -1)
-        m = np.frombuffer(b"".join(members["vector"]), np.float64).reshape(len(members), -1)
-        ids, query_ids = members["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-        q_unit, m_unit = unit(q), unit(m)
-        for begin in range(0, len(q), 256):
-            near = q_unit[begin : begin + 256] @ m_unit.T
-            for i, row in enumerate(near, begin):
-                row[ids == query_ids[i]] = -np.inf
-                some = np.flatnonzero(row > -np.inf)
-                if len(some) > k:
-                    some = some[row[some] >= np.partition(row[some], len(some) - k)[len(some) - k] - 1e-12]
+        q = unit(np.frombuffer(b"".join(queries["vector"]), np.float64).reshape(len(queries), -1))
+        query_ids = queries["query_id"].to_numpy()
+        visits = np.concatenate([np.asarray(x) for x in queries["leaves"]])
+        visitor = np.repeat(np.arange(len(queries)), queries["leaves"].map(len).to_numpy())
+        for leaf, own in members.groupby("leaf"):
+            visiting, ids = visitor[visits == leaf], own["vec_id"].to_numpy()
+            if not len(visiting):
+                continue
+            m = unit(np.frombuffer(b"".join(own["vector"]), np.float64).reshape(len(own), -1))
+            for begin in range(0, len(visiting), 64):
+                who = visiting[begin : begin + 64]
+                near = q[who] @ m.T
+                near[query_ids[who][:, None] == ids] = -np.inf
+                least = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(who), -np.inf)
+                i, j = np.nonzero((near >= least[:, None] - 1e-12) & (near > -np.inf))
                 # One sum per pair, in the same order for all, so equal vectors have equal scores.
-                score = (m_unit[some] * q_unit[i]).sum(axis=1)
-                order = np.lexsort((ids[some], -score))
-                _, first = np.unique(ids[some][order], return_index=True)
-                order = order[np.sort(first)][:k]
-                out.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": ids[some][order], "score": score[order]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+                score = (m[j] * q[who[i]]).sum(axis=1)
+                best = _top(who[i], ids[j], score, k)
+                out.append((who[i][best], ids[j][best], score[best]))
+    if not out:
+        return pd.DataFrame({c: pd.Series(dtype=t) for c, t in _FOUND.items()})
+    who, ids, score = (np.concatenate(x) for x in zip(*out, strict=True))
+    best = _top(who, ids, score, k)
+    return pd.DataFrame({"query_id": query_ids[who[best]], "vec_id": ids[best], "score": score[best]})
 
 
-def nearest(vectors: DataFrame, every: int, k: int = 5, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, every: int, k: int = 5, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of every row whose vec_id is divisible by `every`."""
     rows = valid(vectors)
     total = rows.count()
     held = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    tree = fit(_matrix(held.column("embedding")), total, k)
+    tree = fit(_matrix(held.column("embedding")), total, k, leaf_rows=leaf_rows)
 
     def place(batches):
         for batch in batches:
@@ -184,39 +217,38 @@ def nearest(vectors: DataFrame, every: int, k: int = 5, sample: int = SAMPLE) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leaf), pa.array([v.tobytes() for v in m], pa.binary())], ["vec_id", "leaf", "vector"])
 
     placed = written(rows.mapInArrow(place, "vec_id long, leaf long, vector binary"))
-    count = {r["leaf"]: (r["m"], r["q"]) for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("vec_id") % every == 0).alias("q")).collect()}  # a row for each leaf
-    held_by = [count.get(x, (0, 0))[0] for x in range(tree.leaves)]
-    blocks = [max(1, math.ceil(n / MEMBERS_A_BLOCK)) for n in held_by]
-    # A leaf's visitors are at most all queries; they are dealt by a hash to as many groups.
-    groups = max(1, math.ceil(sum(q for _, q in count.values()) * min(1.0, tree.visits / max(1, tree.leaves)) / QUERIES_A_BLOCK))
+    count = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # a row for each leaf
+    held_by = [count.get(x, 0) for x in range(tree.leaves)]
+    shelf_of, blocks = _shelves(held_by, MEMBERS_A_BLOCK)
 
     def route(batches):
         for batch in batches:
-            ids, own, leaves, block, vectors_ = batch.column(0).to_pylist(), [], [], [], []
+            out = []
             raw = batch.column(1).to_pylist()
             points = unit(np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)) if raw else []
-            for query, vector, point in zip(ids, raw, points, strict=True):
-                met = 0
+            for query, vector, point in zip(batch.column(0).to_pylist(), raw, points, strict=True):
+                met, visited = 0, {}
                 for n, leaf in enumerate(tree.walk(point)):
                     if n >= tree.visits and met > SPARE * k:
                         break
                     met += held_by[leaf]
-                    for b in range(blocks[leaf] if held_by[leaf] else 0):
-                        own.append(query)
-                        leaves.append(leaf)
-                        block.append(b)
-                        vectors_.append(vector)
-                if len(own) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(leaves, pa.int64()), pa.array(block, pa.int64()), pa.array(vectors_, pa.binary())], ["query_id", "leaf", "block", "vector"])
-                    own, leaves, block, vectors_ = [], [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(leaves, pa.int64()), pa.array(block, pa.int64()), pa.array(vectors_, pa.binary())], ["query_id", "leaf", "block", "vector"])
-
-    queries = placed.where(F.col("vec_id") % every == 0).select("vec_id", "vector").mapInArrow(route, "query_id long, leaf long, block long, vector binary")
-    queries = queries.withColumn("party", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
-    in_block = F.element_at(F.array(*[F.lit(b) for b in blocks]), (F.col("leaf") + 1).cast("int"))
-    members = placed.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), in_block).cast("long")).withColumn("party", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("party", F.col("party").cast("long"))
-    keys = ["leaf", "block", "party"]
-    found = queries.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(lambda q, m: _best(q, m, k), "query_id long, vec_id long, score double")
+                    if held_by[leaf]:
+                        visited.setdefault(shelf_of[leaf], []).append(leaf)
+                out += [(query, vector, shelf, leaves) for shelf, leaves in visited.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["query_id", "vector", "shelf", "leaves"])
+
+    queries = written(placed.where(F.col("vec_id") % every == 0).select("vec_id", "vector").mapInArrow(route, "query_id long, vector binary, shelf long, leaves array<long>"))
+    visitors = {r["shelf"]: r["count"] for r in queries.groupBy("shelf").count().collect()}  # a row for each shelf
+
+    def by(numbers: list[int], place: str):
+        return F.element_at(F.array(*[F.lit(n) for n in numbers]), (F.col(place) + 1).cast("int"))
+
+    parties = [math.ceil(visitors.get(x, 0) / QUERIES_A_BLOCK) for x in range(len(blocks))]
+    asked = queries.withColumn("party", F.pmod(F.xxhash64("query_id"), F.greatest(by(parties, "shelf"), F.lit(1))).cast("long")).withColumn("block", F.explode(F.sequence(F.lit(0), by(blocks, "shelf") - 1))).withColumn("block", F.col("block").cast("long"))
+    members = placed.withColumn("shelf", by(shelf_of, "leaf").cast("long")).withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), by(blocks, "shelf")).cast("long"))
+    members = members.where(by(parties, "shelf") > 0).withColumn("party", F.explode(F.sequence(F.lit(0), by(parties, "shelf") - 1))).withColumn("party", F.col("party").cast("long"))
+    keys = ["shelf", "block", "party"]
+    found = asked.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(lambda q, m: _best(q, m, k), "query_id long, vec_id long, score double")
     each = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
