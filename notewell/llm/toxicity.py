@@ -33,6 +33,8 @@ LEAST_STEPS = 300
 FOLDS = 5
 SURPRISE = 4.5
 """Standard deviations by which a term's toxic texts must differ from chance: of a million rare terms, hardly one does."""
+PAIRED = 512
+"""The most frequent terms, of which each pair is tested too: a term that says nothing alone may do so beside another."""
 
 _U = np.uint64
 
@@ -117,8 +119,33 @@ def _worst(values: np.ndarray, first_run: np.ndarray) -> tuple[np.ndarray, np.nd
     return best, at[np.searchsorted(at, first_run[:-1])]
 
 
+def _in_pairs(texts: list[str], label: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The frequent hashes that, beside some other in a window, differ from chance by more than either does alone.
+
+    Windows count by the share of their text, so long texts weigh no more than short ones.
+    """
+    rate = float(label.mean())
+    both = np.zeros((2, len(frequent), len(frequent)))
+    own = Machine(frequent, np.zeros(len(frequent)), np.zeros((len(frequent), 0)), 0.0)
+    for i, j in blocks(texts, 1 << 18):
+        run, row, first_run = own.events(texts[i:j])
+        many = np.diff(first_run)
+        window = np.zeros((int(first_run[-1]), len(frequent)), np.float32)
+        window[run, row] = 1
+        inner = np.ones(len(window), bool)
+        inner[first_run[1:] - 1] = False
+        window[:-1][inner[:-1]] = np.maximum(window[:-1], window[1:])[inner[:-1]]
+        share = np.repeat(1 / many, many).astype(np.float32)[:, None]
+        both[0] += window.T @ (window * share)
+        both[1] += window.T @ (window * share * np.repeat(label[i:j], many).astype(np.float32)[:, None])
+    surprise = np.abs(both[1] - rate * both[0]) / np.sqrt(rate * (1 - rate) * np.maximum(both[0], 1e-9))
+    alone = np.diag(surprise)
+    beyond = (surprise - np.maximum(alone[:, None], alone)) * (surprise >= SURPRISE + 1)
+    return frequent[(beyond >= 1).any(axis=1)]
+
+
 def fit(texts: list[str], label: np.ndarray, rounds: int = 30, seed: int = 0) -> Machine:
-    """Terms whose texts' labels differ from chance are kept; then each text's worst window is fitted by AdaGrad."""
+    """Terms whose texts' labels differ from chance, alone or in pairs, are kept; then each text's worst window is fitted by AdaGrad."""
     none = Machine(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)), -100.0)
     positives = int(label.sum())
     if not positives or positives == len(label):
@@ -138,9 +165,11 @@ def fit(texts: list[str], label: np.ndarray, rounds: int = 30, seed: int = 0) ->
     odds = np.log((toxic + 4 * rate) / (with_it - toxic + 4 * (1 - rate))) - np.log(rate / (1 - rate))
     surprise = np.abs(toxic - rate * with_it) / np.sqrt(rate * (1 - rate) * with_it)
     keep = np.sort(np.argsort(-surprise, kind="stable")[:TERMS])
-    keep = keep[surprise[keep] >= SURPRISE]  # however weak alone: a term may weigh in a pair
+    keep = keep[surprise[keep] >= SURPRISE]  # however weak: a term may weigh in a pair
+    frequent = np.sort(hashes[np.argsort(-with_it, kind="stable")[:PAIRED]])
+    keep = np.union1d(keep, np.searchsorted(hashes, _in_pairs(texts, label, frequent)))
     rng = np.random.default_rng(seed)
-    machine = Machine(hashes[keep], np.clip(odds[keep], -1, 4), rng.normal(0, 0.01, (len(keep), FACTORS)), -2.0)
+    machine = Machine(hashes[keep], np.clip(odds[keep], -1, 4), rng.normal(0, 0.1, (len(keep), FACTORS)), -2.0)
     found = [machine.events(texts[i:j]) for i, j in blocks(texts)]
     first_run = offsets_of(np.concatenate([np.diff(f) for _, _, f in found]))
     begin = np.cumsum([0, *(int(f[-1]) for _, _, f in found[:-1])])
@@ -148,7 +177,7 @@ def fit(texts: list[str], label: np.ndarray, rounds: int = 30, seed: int = 0) ->
     n = int(first_run[-1])
     begins = np.searchsorted(run, np.arange(n + 2))
     ends_of = np.repeat(first_run[1:], np.diff(first_run))
-    g_w, g_v, g_b = np.full(len(keep), 1e-3), np.full((len(keep), FACTORS), 1e-3), 1.0
+    g_w, g_v, g_b = np.full(len(keep), 1e-3), np.full((len(keep), FACTORS), 1e-6), 1.0
     parts = max(1, len(texts) // 512)
     for _ in range(max(rounds, LEAST_STEPS // parts)):
         _, at = _worst(machine.window_logits(run, row, first_run), first_run)
@@ -170,7 +199,7 @@ def fit(texts: list[str], label: np.ndarray, rounds: int = 30, seed: int = 0) ->
             g_w += d_w**2
             g_v += d_v**2
             machine.weights = machine.weights - 0.1 * d_w / np.sqrt(g_w)
-            machine.vectors = machine.vectors - 0.02 * d_v / np.sqrt(g_v)
+            machine.vectors = machine.vectors - 0.05 * d_v / np.sqrt(g_v)
             g_b += slope.sum() ** 2
             machine.bias -= 0.1 * slope.sum() / np.sqrt(g_b)
     return machine

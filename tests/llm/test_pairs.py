@@ -35,3 +35,24 @@ def test_words_toxic_together_alone():
 
 def test_pairs_that_no_sum_of_weights_tells_apart():
     assert right(matching=True) > 0.97
+
+
+def either(n, seed):
+    """Texts of fillers drawn alike for all; toxic are those with exactly one of two words, so neither word says anything alone."""
+    rng = random.Random(seed)
+    texts, label = [], []
+    for _ in range(n):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"filler{rng.randrange(300)}" for _ in range(12)] + ["alpha"] * a + ["bravo"] * b
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        label.append(float(a != b))
+    return texts, np.array(label)
+
+
+def test_without_vectors_pairs_are_missed():
+    machine = toxicity.fit(*either(1500, 6))
+    texts, label = either(800, 7)
+    assert ((machine.logits(texts) >= 0) == (label == 1)).mean() > 0.97
+    machine.vectors = np.zeros_like(machine.vectors)
+    assert ((machine.logits(texts) >= 0) == (label == 1)).mean() < 0.6
