@@ -7,7 +7,8 @@ account numbers by their check digits, dates are dates, addresses addresses. A
 match that fails the test stays as it is.
 
 Defined results: a null text stays null; repeated rows give a row each; an
-empty table gives no rows; all columns are kept, and text alone is changed.
+empty table gives no rows; all columns are kept, whatever their names, and text
+alone is changed.
 """
 
 from __future__ import annotations
@@ -16,8 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 6
-KEY = "notewell"
-"""The secret of the permutation; give your own."""
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"
@@ -164,7 +163,7 @@ def _date(m: Column, secret: str) -> Column:
     return F.when(date.isNotNull(), F.element_at(F.transform(F.array(new), shown), 1)).otherwise(m)
 
 
-def pseudonym(m: Column, secret: str = KEY) -> Column:
+def pseudonym(m: Column, secret: str) -> Column:
     """What stands for one match of ANY."""
     whole = lambda pattern: m.rlike(f"^(?:{pattern})$")
     at = F.instr(m, "@")
@@ -187,16 +186,26 @@ def pseudonym(m: Column, secret: str = KEY) -> Column:
     )
 
 
-def pseudonymised(docs: DataFrame, secret: str = KEY) -> DataFrame:
-    """docs with the personal data in text replaced."""
-    text = F.col("text")
+def pseudonymised(docs: DataFrame, secret: str, counted: str | None = None) -> DataFrame:
+    """docs with the personal data in text replaced, and the number of values replaced in the column `counted`.
+
+    `secret` decides the permutations: without it pseudonyms can't be led back
+    or linked with those of another corpus, so give one that nobody can guess.
+    """
+    text, own = F.col("text"), "_" * (1 + max(map(len, docs.columns)))
+    matches, made = f"{own}m", f"{own}n"
+    some = text.rlike(MAYBE)
+    rows = docs.withColumn(matches, F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    rows = rows.withColumn(made, F.transform(matches, lambda m: pseudonym(m, secret)))
     between = F.split(text, ANY, -1)
-    made = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, secret))
-    joined = F.array_join(F.zip_with(between, made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return docs.withColumn("text", F.when(text.rlike(MAYBE), joined).otherwise(text))
+    joined = F.array_join(F.zip_with(between, F.col(made), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    columns = [(F.when(F.size(matches) > 0, joined).otherwise(text)).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != counted]
+    if counted is not None:
+        changed = F.size(F.filter(F.zip_with(matches, made, lambda a, b: a != b), lambda x: x))
+        columns.append(F.when(text.isNull(), F.lit(None).cast("int")).otherwise(F.when(some, changed).otherwise(0)).alias(counted))
+    return rows.select(*columns)
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_found): the pseudonymised texts and how many matches each text had."""
-    counted = docs.select("doc_id", "text", F.when(F.col("text").rlike(MAYBE), F.regexp_count("text", F.lit(ANY))).otherwise(F.when(F.col("text").isNotNull(), F.lit(0))).alias("n_found"))
-    return pseudonymised(counted)
+def found(docs: DataFrame, secret: str) -> DataFrame:
+    """(doc_id, text, n_found): the pseudonymised texts and how many values were replaced in each."""
+    return pseudonymised(docs.select("doc_id", "text"), secret, counted="n_found")

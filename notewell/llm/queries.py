@@ -10,6 +10,8 @@ from notewell.llm.frames import shipped
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 """The folder of the public tokenizers' files."""
+PII_KEY = os.environ.get("PII_KEY", "a key for test tables")
+"""The secret of the pseudonyms; set PII_KEY for real data."""
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +52,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notewell.llm.pii import found
 
-    return found(_table(spark, sf_dir, "documents"))
+    return found(_table(spark, sf_dir, "documents"), PII_KEY)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,13 +100,15 @@ ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": r"""
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr FROM documents WHERE text IS NOT NULL),
  sets AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(line), '[ \t\x0B\f\r]+'), lambda w: w <> '')) AS w FROM lines),
- long_ones AS (SELECT *, len(w) AS n, row_number() OVER (ORDER BY doc_id, nr) AS k FROM sets WHERE len(w) >= 5),
- words AS (SELECT k, n, unnest(w) AS word FROM long_ones),
+ filled AS (SELECT *, len(w) AS n, row_number() OVER (ORDER BY doc_id, nr) AS k FROM sets WHERE len(w) > 0),
+ classes AS (SELECT list_sort(w) AS w, any_value(n) AS n, min(k) AS first FROM filled GROUP BY list_sort(w)),
+ words AS (SELECT first, n, unnest(w) AS word FROM classes),
  rare AS (SELECT word, count(*) AS df FROM words GROUP BY word),
- prefix AS (SELECT k, n, word FROM words JOIN rare USING (word) QUALIFY row_number() OVER (PARTITION BY k ORDER BY df, word) <= n - (n * 80 + 99) // 100 + 1),
- met AS (SELECT DISTINCT y.k AS later, x.k AS earlier FROM prefix x JOIN prefix y ON x.word = y.word AND x.k < y.k AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
- gone AS (SELECT DISTINCT later AS k FROM met JOIN long_ones y ON y.k = later JOIN long_ones x ON x.k = earlier WHERE 180 * len(list_intersect(x.w, y.w)) >= 80 * (x.n + y.n)),
- removed AS (SELECT doc_id, nr FROM long_ones JOIN gone USING (k)),
+ prefix AS (SELECT first, n, word FROM words JOIN rare USING (word) QUALIFY row_number() OVER (PARTITION BY first ORDER BY df, word) <= n - (n * 80 + 99) // 100 + 1),
+ met AS (SELECT DISTINCT y.first AS later, x.first AS earlier FROM prefix x JOIN prefix y ON x.word = y.word AND x.first < y.first AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+ similar_ AS (SELECT DISTINCT later FROM met JOIN classes y ON y.first = later JOIN classes x ON x.first = earlier WHERE 180 * len(list_intersect(x.w, y.w)) >= 80 * (x.n + y.n)),
+ gone AS (SELECT later AS k FROM similar_ UNION SELECT k FROM filled LEFT JOIN classes ON k = first WHERE first IS NULL),
+ removed AS (SELECT doc_id, nr FROM filled JOIN gone USING (k)),
  kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY nr) AS text FROM lines ANTI JOIN removed USING (doc_id, nr) GROUP BY doc_id),
  counts AS (SELECT doc_id, count(*) AS n FROM removed GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(c.n, 0)::INT AS n_removed

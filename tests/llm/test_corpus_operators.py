@@ -197,7 +197,7 @@ def test_op6(spark):
     rows = ["card 4111 1111 1111 1111 or 4111111111111111", "not 4111111111111112", "a.b@mail.example and a.b@mail.example", "+1 (237) 555-0959", "10.0.0.255 999.0.0.1", "born 1987-02-28, 28/02/1987, 1987-02-30",
             "DE89370400440532013000", 'token = "399d2920424fa9681529d24c"', None, "", "plain", LONG]
     docs = spark.createDataFrame([(i, t, 3, "x") for i, t in enumerate(rows)], "doc_id long, text string, n_found int, m string")
-    got = {r.doc_id: r.text for r in pii.pseudonymised(docs).collect()}
+    got = {r.doc_id: r.text for r in pii.pseudonymised(docs, "k").collect()}
     cards = re.findall(r"\d(?:[ ]?\d){15}", got[0])
     assert cards[0].replace(" ", "") == cards[1] != "4111111111111111" and cards[0].count(" ") == 3
     digits = [int(c) for c in cards[1]][::-1]
@@ -212,7 +212,7 @@ def test_op6(spark):
     iban = got[6][4:] + "1314" + got[6][2:4]
     assert got[6][:2] == "DE" and int(iban) % 97 == 1 and got[6] != rows[6]
     assert re.fullmatch(r'token = "[0-9a-z]{24}"', got[7]) and got[7] != rows[7]
-    assert pii.pseudonymised(docs.limit(0)).count() == 0 and pii.pseudonymised(docs).columns == docs.columns
+    assert pii.pseudonymised(docs.limit(0), "k").count() == 0 and pii.pseudonymised(docs, "k").columns == docs.columns
 
 
 def test_op6_permutes(spark):
