@@ -1,271 +1,202 @@
-"""Near-duplicate lines by an exact set-similarity join.
+"""Near-duplicate lines by an exact set-similarity join, in SQL functions alone.
 
 A line is the set of its words, which white space separates, in lower case. A
 line of at least `least` words goes if an earlier such line, by doc_id and line
 number, has a Jaccard similarity of 0.8 or more; the first of its kind stays,
 and shorter lines all stay. The query and the pipeline take every line that has
-a word (`least` is 1).
+a word (`least` is 1). Words are compared by their 64-bit hashes.
 
-1. Lines of equal sets meet by their hashes; their first is taken on. Sets of
+1. Words are counted in BUCKETS buckets, a table of fixed size. Each line gets
+   one row: its length, two hashes and two bitmaps of its set, its words with
+   the smallest hashes, and its prefix, the rarest words that it must share one
+   of with any similar line.
+2. Lines of equal sets meet by their hashes; their first is taken on. Sets of
    fewer than SMALL words are as similar as that to their equals alone, so this
    settles them, and the next steps leave them out.
-2. Lines that share one of three words picked by hash are compared with the
-   first of those that share it. This settles nearly all of a large group of
-   near copies at about the group's own size.
-3. For the others, words are ordered by rarity (counts in BUCKETS buckets, a
-   table of fixed size) and lines meet by the words of their prefixes. Length,
-   position and a bitmap of the words, each an upper bound of the overlap,
-   filter the pairs within the join.
-4. Pairs that pass are verified on the words themselves.
-
-Lines are turned into hashes, bitmaps and prefixes by numpy: in SQL functions
-alone that took several times the limit of CPU time (README). Everything else,
-the joins and the verification, is DataFrame operations.
+3. Lines that share a word with the smallest hashes are compared with the first
+   of those that share it. This settles nearly all of a large group of near
+   copies at about the group's own size.
+4. The others meet by the words of their prefixes. Length, position and the
+   bitmaps, each an upper bound of the overlap, filter the pairs within the join.
+5. Pairs that pass, and whose prefixes allow it, are verified on the whole sets.
 
 Defined results: a null text stays null and an empty one empty; rows that share
 a doc_id are one document and repeated rows go the same way; rows without
 doc_id come before all others; an empty table gives no rows; all columns are
-kept, and text alone is changed.
+kept, whatever their names, text alone is changed, and n_removed is added, in
+place of a column of that name.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewell.llm.arrays import blocks, mix64, offsets_of, span_hashes, word_spans
-from notewell.llm.frames import written
+from notewell.llm.frames import dropped, written
 
 LEAST, PERCENT = 5, 80
 SMALL = 4
 """Of two unequal sets of which one has fewer words, at most 3 of 4 are shared."""
 BUCKETS = 1 << 16
-PICKED = 3
+PICKED = 2
 SENT_WHOLE = 1_000_000
 """Line or document ids up to this number, 16 to 32 MB, are broadcast; more are joined by a shuffle."""
 
 
 def sent(df: DataFrame, most: int = SENT_WHOLE) -> DataFrame:
-    """df, to be broadcast if it has few rows."""
+    """df, of a few numbers a row, to be broadcast if it has few rows."""
     return F.broadcast(df) if df.count() <= most else df
 
 
-def _spaced(line: Column) -> Column:
-    """line in lower case, its other ASCII white space as spaces."""
-    low = F.lower(line)
-    return F.when(low.rlike(r"[\t\x0B\f\r]"), F.translate(low, "\t\x0b\f\r", "    ")).otherwise(low)
+def _spaced(text: Column) -> Column:
+    """text with its other ASCII white space, but for line breaks, as spaces."""
+    other = [F.contains(text, F.lit(c)) for c in "\t\x0b\f\r"]
+    return F.when(other[0] | other[1] | other[2] | other[3], F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text)
 
 
-def words(line: Column) -> Column:
-    """The distinct words of a line, between spaces."""
-    return F.array_remove(F.array_distinct(F.split(_spaced(line), " ")), "")
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """(d, at, line): every line of every document."""
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(d, version, text): version tells the texts apart that rows of one doc_id have; white space within lines is spaces."""
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    return docs.select(d.alias("d"), F.posexplode_outer(F.split("text", "\n", -1)).alias("at", "line")).where("at IS NOT NULL")
-
-
-class _Block:
-    """The distinct words of the lines of some texts, as hashes sorted within each line."""
-
-    def __init__(self, texts: list[str], least: int) -> None:
-        raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-        data, offsets = np.frombuffer(b"".join(raw), np.uint8), offsets_of([len(r) for r in raw])
-        breaks = np.flatnonzero(data == 0x0A) + 1
-        # Lines begin with texts and after breaks; a text may begin where another, empty, does.
-        begin = np.concatenate([offsets[:-1], breaks])
-        text = np.concatenate([np.arange(len(texts)), np.searchsorted(offsets, breaks - 1, "right") - 1])
-        order = np.lexsort((begin, text))
-        begin, text = begin[order], text[order]
-        starts, ends = word_spans(data, offsets)
-        line = np.searchsorted(begin, starts, "right") - 1
-        words = span_hashes(data, starts, ends)
-        order = np.lexsort((words, line))
-        words, line = words[order], line[order]
-        new = np.ones(len(words), bool)
-        new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
-        words, line = words[new], line[new]
-        n = np.bincount(line, minlength=len(begin))
-        first = np.searchsorted(text, text)
-        kept = np.flatnonzero(n >= least)
-        self.words = words[n[line] >= least]
-        self.n, self.text, self.at = n[kept], text[kept], (kept - first[kept])
-        self.begin = np.cumsum(self.n) - self.n
-
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(values, self.begin) if len(self.n) else values[:0]
-
-    def keys(self) -> list[np.ndarray]:
-        """Two hashes of each line's set."""
-        return [self.sums(mix64(self.words ^ np.uint64(c))).view(np.int64) for c in (0x2545F4914F6CDD1D, 0x6A09E667F3BCC909)]
-
-    def bits(self) -> list[np.ndarray]:
-        """Two maps of 64 bits: of the words whose hashes are even, and of the others."""
-        bit = np.uint64(1) << (self.words >> np.uint64(1) & np.uint64(63))
-        odd = self.words & np.uint64(1) == 1
-        return [(np.bitwise_or.reduceat(np.where(odd == k, bit, np.uint64(0)), self.begin) if len(self.n) else bit[:0]).view(np.int64) for k in (False, True)]
-
-
-_KEYS = "d long, at int, h0 long, h1 long, line_hash long"
-_ROWS = "d long, at int, h0 long, h1 long, n int, b0 long, b1 long, place int, key long"
-
-
-def _mapped(docs: DataFrame, schema: str, make) -> DataFrame:
-    """What make(texts, ids) gives, in columns, for each block of texts."""
-    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-
-    def run(batches):
-        for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), np.asarray(batch.column(0))
-            for i, j in blocks(texts):
-                columns = make(texts[i:j], ids[i:j])
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if f.split()[1] == "int" else pa.int64()) for c, f in zip(columns, schema.split(", "), strict=True)], [f.split()[0] for f in schema.split(", ")])
-
-    return docs.where("text IS NOT NULL").select(d.alias("d"), "text").mapInArrow(run, schema)
-
-
-def _keyed(docs: DataFrame, least: int) -> DataFrame:
-    """(d, at, h0, h1, line_hash) of every line of `least` words; line_hash is what xxhash64 gives."""
-
-    def make(texts, ids):
-        block = _Block(texts, least)
-        lines = [t.split("\n") for t in texts]
-        hashes = [xxhash.xxh64_intdigest(lines[t][k].encode("utf-8", "surrogatepass"), 42) for t, k in zip(block.text.tolist(), block.at.tolist(), strict=True)]
-        return ids[block.text], block.at, *block.keys(), np.array(hashes, np.uint64).view(np.int64)
-
-    return _mapped(docs, _KEYS, make)
-
-
-def _picked(docs: DataFrame, least: int) -> DataFrame:
-    """A row for each of the words with the smallest hashes of a line of `least` words and SMALL at least."""
-
-    def make(texts, ids):
-        block = _Block(texts, max(least, SMALL))
-        line = np.repeat(np.arange(len(block.n)), PICKED)
-        place = np.tile(np.arange(PICKED), len(block.n))
-        key = block.words[block.begin[line] + place].view(np.int64) if len(block.n) else place
-        return (ids[block.text][line], block.at[line], *(k[line] for k in block.keys()), block.n[line], *(b[line] for b in block.bits()), place, key)
-
-    return _mapped(docs, _ROWS, make)
-
+    return docs.where("text IS NOT NULL").select(d.alias("d"), F.xxhash64("text").alias("version"), _spaced(F.col("text")).alias("text"))
 
-def _postings(docs: DataFrame, rarity: np.ndarray, least: int) -> DataFrame:
-    """A row for each word of the prefix, rarest first, of a line of `least` words and SMALL at least."""
 
-    def make(texts, ids):
-        block = _Block(texts, max(least, SMALL))
-        codes = rarity[(block.words & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | block.words >> np.uint64(8)
-        line = np.repeat(np.arange(len(block.n)), block.n)
-        codes = codes[np.lexsort((codes, line))].view(np.int64)
-        reach = block.n - (block.n * PERCENT + 99) // 100 + 1
-        line = np.repeat(np.arange(len(block.n)), reach)
-        place = np.arange(len(line)) - np.repeat(np.cumsum(reach) - reach, reach)
-        return (ids[block.text][line], block.at[line], *(k[line] for k in block.keys()), block.n[line], *(b[line] for b in block.bits()), place, codes[block.begin[line] + place])
+def _sets(numbered: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(d, version, at, row, hashes): the set of every line of numbered texts, or of those wanted(d, at), as hashes in ascending order.
 
-    return _mapped(docs, _ROWS, make)
+    The number of the row also keeps filters above from computing the set twice.
+    """
+    lines = numbered.select("d", "version", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    lines = lines.join(wanted, ["d", "at"], "left_semi") if wanted is not None else lines
+    hashes = F.sort_array(F.array_distinct(F.transform(F.split(F.lower("line"), " "), lambda w: F.xxhash64(w))))
+    return lines.select("d", "version", "at", F.monotonically_increasing_id().alias("row"), F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("hashes"))
 
 
-def _rarity(docs: DataFrame) -> np.ndarray:
+def _rarity(numbered: DataFrame) -> Column:
     """How common the words of each bucket are, 0 to 126, in steps of a quarter of a power of two."""
-
-    def run(batches):
-        counts = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i, j in blocks(texts):
-                counts += np.bincount((_Block(texts[i:j], 1).words & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["bucket", "n"])
-
-    table = np.zeros(BUCKETS, np.uint8)
-    counted = docs.where("text IS NOT NULL").select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    for row in counted.collect():  # BUCKETS rows at most
-        table[row["bucket"]] = min(126, int(4 * math.log2(row["n"] + 1)))
-    return table
-
-
-def _prefix(n: Column) -> Column:
+    word = F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " "))
+    buckets = numbered.select(word.alias("word")).select(F.xxhash64("word").bitwiseAND(BUCKETS - 1).alias("bucket"))
+    steps = ["0"] * BUCKETS
+    for row in buckets.groupBy("bucket").count().collect():  # BUCKETS rows at most
+        steps[row["bucket"]] = str(min(126, int(4 * math.log2(row["count"] + 1))))
+    return F.split(F.lit(" ".join(steps)), " ").cast("array<tinyint>")
+
+
+def _described(docs: DataFrame, least: int) -> DataFrame:
+    """(d, version, at, row, n, k0, k1, b0, b1, picked, prefix) of every line of `least` words; row tells rows apart."""
+    numbered = _numbered(docs)
+    rarity = _rarity(numbered)
+    negative = (F.array_position(F.sort_array(F.array_append("hashes", F.lit(0).cast("long"))), F.lit(0).cast("long")) - 1).cast("int")
+    sized = _sets(numbered).withColumn("n", F.size("hashes")).where(F.col("n") >= least).withColumn("negative", negative)
+
+    def mapped(hashes: Column) -> Column:
+        """A map of these words in 64 bits."""
+        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(bit(h)))
+
+    # Words whose hashes are negative have one map, which come first, and the others one.
+    b0, b1 = mapped(F.slice("hashes", F.lit(1), F.col("negative"))), mapped(F.slice("hashes", F.col("negative") + 1, F.col("n") - F.col("negative")))
+    code = F.transform("hashes", lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
+    none = F.array().cast("array<long>")
+    large = F.col("n") >= SMALL
+    return sized.select(
+        "d", "version", "at", "row", "n", F.xxhash64("hashes").alias("k0"), F.xxhash64(F.lit(7), "hashes").alias("k1"), b0.alias("b0"), b1.alias("b1"),
+        F.when(large, F.slice("hashes", 1, PICKED)).otherwise(none).alias("picked"), F.when(large, F.slice(F.sort_array(code), F.lit(1), _reach(F.col("n")))).otherwise(none).alias("prefix"),
+    )
+
+
+def _reach(n: Column) -> Column:
     """Words that a line of n words must index, so that similar lines share one."""
-    return n - F.floor((n * PERCENT + 99) / 100) + 1
+    return (n - F.floor((n * PERCENT + 99) / 100) + 1).cast("int")
 
 
-def _overlap(n: Column, m: Column) -> Column:
-    """Words that similar lines of n and m words share at least."""
-    return F.ceil(PERCENT * (n + m) / F.lit(100 + PERCENT))
+def _enough(shared: Column, n: Column, m: Column) -> Column:
+    """Whether lines of n and m words that share so many are similar."""
+    return (100 + PERCENT) * shared >= PERCENT * (n + m)
 
 
 def _possible(a: str, b: str) -> Column:
     """Whether the lengths and bitmaps of two lines allow the similarity; each bit that only one has is a word that only it has."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    lengths = (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
 
     def alone(x: str, y: str) -> Column:
         return sum((F.bit_count(F.col(f"{x}.{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{k}")))) for k in ("b0", "b1")), F.lit(0))
 
-    return lengths & (alone(a, b) <= n - _overlap(n, m)) & (alone(b, a) <= m - _overlap(n, m))
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & _enough(n - alone(a, b), n, m) & _enough(m - alone(b, a), n, m)
 
 
 def _earlier(a: str, b: str) -> Column:
     return (F.col(f"{a}.d") < F.col(f"{b}.d")) | ((F.col(f"{a}.d") == F.col(f"{b}.d")) & (F.col(f"{a}.at") < F.col(f"{b}.at")))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(d, at, line_hash) of the later line of the pairs(d, at, d0, at0) that are similar on the words themselves."""
-    pairs = written(pairs.distinct())
-    ids = pairs.select("d").unionByName(pairs.select(F.col("d0").alias("d"))).distinct()
-    wanted = pairs.select("d", "at").unionByName(pairs.select(F.col("d0").alias("d"), F.col("at0").alias("at"))).distinct()
-    some = _lines(docs.select("doc_id", "text")).join(sent(written(ids)), "d", "left_semi").join(sent(written(wanted)), ["d", "at"], "left_semi")
-    sets = written(some.select("d", "at", F.xxhash64("line").alias("line_hash"), words(F.col("line")).alias("w")))
-    both = pairs.join(sets, ["d", "at"]).join(sets.select(F.col("d").alias("d0"), F.col("at").alias("at0"), F.col("w").alias("w0")), ["d0", "at0"])
-    shared = F.size(F.array_intersect("w", "w0"))
-    return written(both.where(100 * shared >= PERCENT * (F.size("w") + F.size("w0") - shared)).select("d", "at", "line_hash").distinct())
+def _likely(pairs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The pairs(d, at, d0, at0) whose prefixes allow the similarity: a word of one that the other's prefix passes over is its own."""
+    some = lines.join(sent(wanted), ["d", "at"], "left_semi").select("d", "at", "n", "prefix")
+    both = pairs.join(some, ["d", "at"]).join(some.toDF("d0", "at0", "n0", "prefix0"), ["d0", "at0"])
+
+    def alone(x: str, y: str) -> Column:
+        return F.size(F.array_except(F.filter(x, lambda c: c <= F.element_at(y, -1)), F.col(y)))
+
+    n, m = F.col("n"), F.col("n0")
+    return both.where(_enough(n - alone("prefix", "prefix0"), n, m) & _enough(m - alone("prefix0", "prefix"), n, m)).select("d", "at", "d0", "at0").distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("d", "at").unionByName(pairs.select(F.col("d0").alias("d"), F.col("at0").alias("at"))).distinct()
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """(d, version, at) of the later line of the pairs(d, at, d0, at0) whose sets are similar."""
+    met = written(pairs.distinct())
+    ends = written(_ends(met))
+    likely = written(_likely(met, lines, ends))
+    wanted = written(_ends(likely))
+    some = _numbered(docs).join(sent(written(wanted.select("d").distinct())), "d", "left_semi")
+    sets = written(_sets(some, sent(wanted)).drop("row").dropDuplicates(["d", "version", "at"]))
+    both = likely.join(sets, ["d", "at"]).join(sets.select(F.col("d").alias("d0"), F.col("at").alias("at0"), F.col("hashes").alias("hashes0")), ["d0", "at0"])
+    similar = _enough(F.size(F.array_intersect("hashes", "hashes0")), F.size("hashes"), F.size("hashes0"))
+    found = written(both.where(similar).select("d", "version", "at").distinct())
+    for table in (met, ends, likely, wanted, sets):
+        dropped(table)
+    return found
 
 
 def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(d, at, line_hash): the lines of docs(doc_id, text), of `least` words or more, that an earlier one repeats."""
+    """(d, version, at): the lines of docs(doc_id, text), of `least` words or more, that an earlier one repeats."""
     docs = docs.select("doc_id", "text")
-    keyed = _keyed(docs, least)
-    groups = written(keyed.groupBy("h0", "h1").agg(F.min(F.struct("d", "at")).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").select("h0", "h1", "first"))
-    groups = sent(groups)
-    equal = written(keyed.join(groups, ["h0", "h1"]).where("first <> struct(d, at)").select("d", "at", "line_hash"))
-
-    def firsts(rows: DataFrame) -> DataFrame:
-        return rows.join(groups, ["h0", "h1"], "left").where("first IS NULL OR first = struct(d, at)").drop("h0", "h1", "first")
+    lines = written(_described(docs, least))
+    groups = sent(written(lines.groupBy("k0", "k1").agg(F.min(F.struct("d", "at", "row")).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")))
+    equal = written(lines.join(groups, ["k0", "k1"]).where("first.d <> d OR first.at <> at").select("d", "version", "at"))
+    firsts = lines.where(F.col("n") >= SMALL).join(groups, ["k0", "k1"], "left").where("first IS NULL OR first.row = row")
 
-    # 2. Against the first line that shares a picked word.
-    picked = firsts(_picked(docs, least))
+    # 3. Against the first line that shares a picked word.
+    picked = firsts.select("d", "at", "n", "b0", "b1", F.explode("picked").alias("key"))
     leaders = written(picked.groupBy("key").agg(F.min(F.struct("d", "at", "n", "b0", "b1")).alias("l"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "l.*"))
-    met = picked.alias("y").join(leaders.alias("x"), "key").where(_earlier("x", "y") & _possible("x", "y"))
-    settled = _verified(met.select("y.d", "y.at", F.col("x.d").alias("d0"), F.col("x.at").alias("at0")), docs)
+    met = picked.alias("y").join(sent(leaders).alias("x"), "key").where(_earlier("x", "y") & _possible("x", "y"))
+    settled = _verified(met.select("y.d", "y.at", F.col("x.d").alias("d0"), F.col("x.at").alias("at0")), lines, docs)
 
-    # 3. The others, against all earlier lines that share a word of the prefixes.
-    gone = sent(written(settled.select("d", "at").distinct())).withColumn("settled", F.lit(1))
-    rows = firsts(_postings(docs, _rarity(docs), least)).join(gone, ["d", "at"], "left")
-    postings = rows.select("d", "at", "n", "b0", "b1", F.when(F.col("settled").isNull(), 1).otherwise(0).alias("open"), "place", "key")
+    # 4. The others, against all earlier lines that share a word of the prefixes.
+    rows = firsts.join(sent(settled).withColumn("settled", F.lit(1)), ["d", "version", "at"], "left")
+    postings = rows.select("d", "at", "n", "b0", "b1", F.when(F.col("settled").isNull(), 1).otherwise(0).alias("open"), F.posexplode("prefix").alias("place", "key"))
     x, y = postings.alias("x"), postings.alias("y")
-    shortest_place = F.when(F.col("x.n") <= F.col("y.n"), F.col("x.place")).otherwise(F.col("y.place"))
-    # Words before the shared one that either has alone.
-    room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    n, m = F.col("x.n"), F.col("y.n")
+    # Words from the shared one on are all that can be shared.
+    room = F.least(n - F.col("x.place"), m - F.col("y.place"))
     # `open` is asked of y alone, in terms of both sides: so both read one exchange.
-    near = (F.col("y.open") * (F.col("x.open") + 1) > 0) & _earlier("x", "y") & _possible("x", "y") & (room >= _overlap(F.col("x.n"), F.col("y.n"))) & (shortest_place <= F.floor(F.least(F.col("x.n"), F.col("y.n")) / 9))
+    near = _enough(room, n, m) & (F.col("y.open") * (F.col("x.open") + 1) > 0) & _earlier("x", "y") & _possible("x", "y")
     pairs = y.join(x, (F.col("x.key") == F.col("y.key")) & near).select("y.d", "y.at", F.col("x.d").alias("d0"), F.col("x.at").alias("at0"))
-    return equal.unionByName(settled).unionByName(_verified(pairs, docs)).distinct()
+    return equal.unionByName(settled).unionByName(_verified(pairs, lines, docs)).distinct()
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs with the lines of text that an earlier line repeats removed, and the number of them in n_removed."""
-    gone = written(repeated_lines(docs, least).groupBy("d").agg(F.collect_list(F.struct("at", "line_hash")).alias("gone")))
-    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    both = docs.withColumn("d", d).join(sent(gone), "d", "left")
-    lines = F.split("text", "\n", -1)
-    left = F.filter(lines, lambda line, at: ~F.array_contains("gone", F.struct(at.alias("at"), F.xxhash64(line).alias("line_hash"))))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    removed = F.when(F.col("gone").isNull() | F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size(left))
-    return both.select(*[F.col(c) for c in docs.columns if c != "text"], kept.alias("text"), removed.alias("n_removed"))
+    # Names of our own can't clash with those of the table.
+    d, version, gone, lines = (f"{name}{'_' * max(map(len, docs.columns))}" for name in ("d", "version", "gone", "lines"))
+    found = written(repeated_lines(docs, least).groupBy("d", "version").agg(F.collect_list("at").alias("gone")))
+    marked = docs.withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn(version, F.xxhash64("text"))
+    both = marked.join(sent(found.toDF(d, version, gone)), [d, version], "left").withColumn(lines, F.when(F.col(gone).isNotNull(), F.split("text", "\n", -1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda at: F.get(F.col(lines), at)), "\n"))
+    count = F.when(F.col(gone).isNull(), 0).otherwise(F.size(F.col(gone)))
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_removed")], kept.alias("text"), count.alias("n_removed"))
