@@ -54,6 +54,17 @@ def resolved(inputs: DataFrame, aliases: DataFrame) -> DataFrame:
     return found.select("id", canonical.alias("canonical"), source.alias("source"))
 
 
+def links_of(inputs: DataFrame, aliases: DataFrame, now: int) -> DataFrame:
+    """(alias, canonical, created_at): what resolving inputs(id, input, workspace) teaches: keys that led to another one."""
+    found = resolved(inputs, aliases).join(inputs.select("id", F.trim("input").alias("alias")), "id")
+    return found.where((F.col("source") == "alias") & (F.col("alias") != F.col("canonical"))).select("alias", "canonical", F.lit(now).cast("long").alias("created_at")).distinct()
+
+
+def workspace_payload(found: DataFrame) -> DataFrame:
+    """(id, payload): workspaces() as JSON."""
+    return found.select("id", F.to_json(F.struct("canonical", "source", F.col("linked").alias("aliases"))).alias("payload"))
+
+
 def siblings(memories: DataFrame, canonical: str) -> DataFrame:
     """(repo, rows): other keys that look like this one, and the rows under them."""
     last = canonical.split("/")[-1]
@@ -96,9 +107,3 @@ def merged(memories: DataFrame, aliases: DataFrame, old: str, new: str, now: int
     numbers = spark.range(1).select(*[c.scalar().alias(c.columns[0]) for c in counts])
     links = spark.createDataFrame([(old, new, now), (new, new, now)], "alias string, canonical string, created_at long")
     return rewritten(moved, old, new, now), alias_upserted(pointed, links), numbers
-
-
-def latest_aliases(aliases: DataFrame) -> DataFrame:
-    """One row for each alias: the newest."""
-    order = Window.partitionBy("alias").orderBy(F.desc("created_at"), "canonical")
-    return aliases.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")

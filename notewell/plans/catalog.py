@@ -390,7 +390,14 @@ def find_related(spark, d):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+_NOTICE = """noted AS (SELECT probe_id, string_agg('  - #' || row_id || ' (similarity ' || printf('%.2f', similarity) || ')' || CASE WHEN flag THEN ' ⚠ may contradict/supersede' ELSE '' END || ': ' ||
+   CASE WHEN length(note) > 100 THEN substr(note, 1, 97) || '...' ELSE note END, chr(10) ORDER BY n) AS lines, bool_or(flag) AS any_ FROM related GROUP BY probe_id)"""
+_RECONCILE = """SELECT probe_id, chr(10) || chr(10) || 'Related existing memories you may want to reconcile:' || chr(10) || lines || chr(10) || CASE WHEN any_
+ THEN 'If this new note replaces or contradicts any of them, call update_memory to revise the existing memory or delete_memory to remove the stale one. Otherwise no action is needed.'
+ ELSE 'If this new note updates any of them, consider update_memory; otherwise keeping both is fine.' END AS notice FROM noted"""
+
+
+@query(_with(*_compared(fx.PROBES_SQL), _RELATED, _NOTICE, _RECONCILE))
 def conflict_notice(spark, d):
     rows = _memories(spark, d)
     return reports.conflict_notice(dedupe.related(fx.probes(spark, d), rows, floor=0.15), rows)
@@ -596,3 +603,99 @@ def migrate_snapshot(spark, d):
     from notewell.sources.store import migrated
 
     return migrated(_memories(spark, d).select("row_id", "id", "repo", "type", "note", "created_at"))
+
+
+# Vectors that follow their notes
+
+
+@query(_with(fx.MEMORIES_SQL, fx.VECTORS_SQL, """SELECT row_id AS memory_rowid, CASE WHEN row_id % 10 = 3 THEN 256 ELSE coalesce(v.dim, 256) END AS dim, CASE WHEN v.dim IS NULL OR row_id % 10 = 3 THEN 1 ELSE 1000 END AS version
+ FROM memories LEFT JOIN vectors v ON memory_rowid = row_id WHERE v.dim IS NOT NULL OR row_id % 10 = 3"""))
+def vector_refresh(spark, d):
+    """After an edit of every tenth note, its vector is made anew and no other changes."""
+    rows, held = _memories(spark, d), fx.vectors(spark, d)
+    after = memory.updated(rows, rows.where("row_id % 10 = 3").select("row_id", F.lit("Changed!").alias("content"), F.lit(None).cast("string").alias("memory_type")), fx.NOW)
+    kept = vectors.current_only(held, rows, after)
+    edited = after.join(rows.select("row_id", F.col("note").alias("old")), "row_id").where("note <> old").drop("old")
+    full = vectors.backfilled(edited.select("row_id", "note"), kept, F.lit(fx.NOW))
+    return full.join(rows.select(F.col("row_id").alias("memory_rowid")), "memory_rowid", "left_semi").select("memory_rowid", "dim", "version")
+
+
+@query(_with(fx.MEMORIES_SQL, fx.VECTORS_SQL, "dealt AS (SELECT memory_rowid, CASE WHEN memory_rowid % 3 = 0 THEN 32 ELSE dim END AS dim, CASE WHEN memory_rowid % 4 = 0 THEN 999 ELSE version END AS version FROM vectors)",
+ "SELECT row_id FROM memories WHERE row_id NOT IN (SELECT memory_rowid FROM dealt WHERE dim = 64 AND version = 1000)"))
+def vector_meta_filter(spark, d):
+    """Vectors of another dimension or an older version count as lacking."""
+    last = F.col("memory_rowid")
+    dealt = fx.vectors(spark, d).withColumn("dim", F.when(last % 3 == 0, 32).otherwise(F.col("dim"))).withColumn("version", F.when(last % 4 == 0, 999).otherwise(F.col("version")))
+    return vectors.missing(_memories(spark, d), dealt, 64, 1000).select("row_id")
+
+
+# Keys that are learned, messages
+
+
+_NEW_ALIASES = [(" fr ", "corpus/fr-moved", 5), ("fresh", "corpus/new", 6), ("", "corpus/x", 7), ("blank", " ", 8)]
+
+
+@query(_with(fx.ALIASES_SQL, "fresh(alias, canonical, created_at) AS (VALUES ('fr', 'corpus/fr-moved', 5), ('fresh', 'corpus/new', 6))",
+ "SELECT coalesce(a.alias, f.alias) AS alias, coalesce(f.canonical, a.canonical) AS canonical, coalesce(a.created_at, f.created_at)::BIGINT AS created_at FROM aliases a FULL JOIN fresh f USING (alias)"))
+def upsert_alias(spark, d):
+    return keys.alias_upserted(fx.aliases(spark, d), spark.createDataFrame(_NEW_ALIASES, "alias string, canonical string, created_at long"))
+
+
+_ASKED_KEYS = [(1, "en"), (2, "corpus/fr"), (3, "other/main"), (4, "new"), (5, ""), (6, " de ")]
+
+
+@query(_with(fx.ALIASES_SQL, "asked(id, key) AS (VALUES (1, 'en'), (2, 'corpus/fr'), (3, 'other/main'), (4, 'new'), (6, 'de'))",
+ f"SELECT DISTINCT key AS alias, CASE WHEN id = 3 THEN 'own/main' ELSE canonical END AS canonical, {fx.NOW}::BIGINT AS created_at FROM asked LEFT JOIN aliases ON alias = key WHERE id = 3 OR (canonical IS NOT NULL AND canonical <> key)"))
+def learned_aliases(spark, d):
+    asked = spark.createDataFrame(_ASKED_KEYS, "id int, input string").withColumn("workspace", F.lit("own/main"))
+    return keys.links_of(asked, fx.aliases(spark, d), fx.NOW)
+
+
+@query(_with(fx.ALIASES_SQL, f"remotes AS (SELECT page_id AS id, url, regexp_extract(url, '([^/]*)/*$', 1) AS folder, {_REMOTE_SQL} AS key FROM pages)", """SELECT id, '{"canonical":"' || coalesce(key, folder) || '","source":"' || CASE WHEN key IS NULL THEN 'folder' ELSE 'git' END || '","aliases":["' ||
+ CASE WHEN EXISTS (SELECT 1 FROM aliases a WHERE a.alias = folder) OR folder = coalesce(key, folder) THEN coalesce(key, folder) ELSE key || '","' || folder END || '"]}' AS payload FROM remotes"""))
+def resolve_workspace(spark, d):
+    rows = fx.table(spark, d, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("/home/of/"), F.regexp_extract("url", "([^/]*)/*$", 1)).alias("path"), F.col("url").alias("remote"))
+    return keys.workspace_payload(keys.workspaces(rows, fx.aliases(spark, d)))
+
+
+@query(_with(fx.MEMORIES_SQL, "asked(ask_id, k, row_id) AS (SELECT row_id, row_id::VARCHAR, row_id FROM memories UNION ALL SELECT -1, 'no-such', NULL)", "SELECT ask_id, CASE WHEN m.row_id IS NULL THEN 'Memory ' || k || ' not found.' ELSE 'Pinned memory ' || m.row_id || ': ' || note END AS message FROM asked LEFT JOIN memories m USING (row_id)"))
+def pin_message(spark, d):
+    rows = _memories(spark, d)
+    return reports.said("pin", _every_id(spark, rows), rows)
+
+
+@query(_with(fx.MEMORIES_SQL, "asked(ask_id, k, row_id) AS (SELECT row_id, row_id::VARCHAR, row_id FROM memories UNION ALL SELECT -1, 'no-such', NULL)", "SELECT ask_id, CASE WHEN m.row_id IS NULL THEN 'Memory ' || k || ' not found.' ELSE 'Deleted memory ' || m.row_id || ' (legacy: ' || id || ').' END AS message FROM asked LEFT JOIN memories m USING (row_id)"))
+def delete_message(spark, d):
+    rows = _memories(spark, d)
+    return reports.said("delete", _every_id(spark, rows), rows)
+
+
+def _every_id(spark, rows):
+    """Every row by its number, and one that isn't there."""
+    return rows.select(F.col("row_id").alias("ask_id"), F.col("row_id").cast("string").alias("id")).unionByName(spark.createDataFrame([(-1, "no-such")], "ask_id long, id string"))
+
+
+@query(_with(fx.MEMORIES_SQL, f"""SELECT row_id, 'Memory ' || row_id || ' updated successfully.' || chr(10) || 'id: ' || row_id || chr(10) || 'legacy_id: ' || id || chr(10) || 'repo: ' || repo || chr(10) || 'memory_type: ' || type || chr(10) || 'content: ' || note || chr(10) ||
+ 'tags: ' || {_TAGS} || chr(10) || 'pinned: ' || CASE WHEN pinned = 1 THEN 'true' ELSE 'false' END || chr(10) || 'created_at: ' || created_at || chr(10) || 'updated_at: ' || updated_at AS report FROM memories"""))
+def update_message(spark, d):
+    return reports.row_text(_memories(spark, d))
+
+
+@query(_with("RECURSIVE " + fx.MEMORIES_SQL, *_EDGES, _PLAN, "SELECT m.repo, 'Merged ' || count(*) || ' duplicate pair(s) in ' || m.repo || '.' AS message FROM plan JOIN memories m ON m.row_id = keep GROUP BY m.repo"))
+def dedupe_message(spark, d):
+    rows = _memories(spark, d)
+    return reports.plan_said(dedupe.plan(rows), rows)
+
+
+@query("SELECT DISTINCT lang AS repo, 'No memories found for ' || lang || ' matching \"x\".' AS report, '# Context: ' || lang || chr(10) || chr(10) || 'No memories found for \"x\".' AS markdown FROM documents")
+def empty_message(spark, d):
+    repos = fx.table(spark, d, "documents").select(F.col("lang").alias("repo")).distinct()
+    return repos.select("repo", reports.empty_context(F.col("repo"), "x").alias("report"), reports.empty_context(F.col("repo"), "x", markdown=True).alias("markdown"))
+
+
+@query(f"SELECT 1::BIGINT AS row_id, 'n-1' AS id, 'own/new' AS repo, 'convention' AS type, 'Welcome.' AS note, '[]' AS tags, {fx.NOW}::BIGINT AS created_at, 'welcome' AS note_normalized")
+def starter_seed(spark, d):
+    """Into a store without notes; one with notes stays as it is."""
+    rows = _memories(spark, d)
+    some, none = memory.seeded(rows, "own/new", "Welcome.", fx.NOW), memory.seeded(rows.limit(0), "own/new", "Welcome.", fx.NOW)
+    return none.unionByName(some.where("repo = 'own/new'")).select("row_id", "id", "repo", "type", "note", "tags", "created_at", "note_normalized")

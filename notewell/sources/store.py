@@ -1,12 +1,14 @@
 """A store of snapshots: notes, aliases and vectors as Parquet under one folder.
 
-A snapshot is written in full beside the others and becomes current when the
-small file that names it is replaced, so readers never see half of one and a
-failed write changes nothing.
+A snapshot is written in full beside the others and becomes current when a
+small file that names it appears under the next number. Such files are never
+changed or deleted, and the highest number counts: readers never see half of a
+snapshot, a failed write changes nothing, and of two writers one fails.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,11 +40,24 @@ class Store:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _pointers(self) -> list[tuple[int, str]]:
+        """Number and name of the files that name snapshots, in order."""
+        path, files = self._path("pointers")
+        names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+        return sorted((int(n.partition("-")[0]), n) for n in names if n.partition("-")[0].isdigit())
+
+    def _named(self) -> dict:
+        pointers = self._pointers()
+        if not pointers:
+            return {}
+        return json.loads(self.spark.read.text(f"{self.folder}/pointers/{pointers[-1][1]}").first()["value"])
+
     def current(self) -> str | None:
-        path, files = self._path("CURRENT")
-        if not files.exists(path):
-            return None
-        return self.spark.read.text(str(path)).first()["value"]
+        return self._named().get("version")
+
+    def batches(self) -> dict[str, int]:
+        """The last batch of each stream that the current snapshot has."""
+        return self._named().get("batches", {})
 
     def read(self, name: str) -> DataFrame:
         """A table of the current snapshot; empty if there is none."""
@@ -53,22 +68,23 @@ class Store:
         found = self.spark.read.option("basePath", path).parquet(path)
         return migrated(found) if name == "memories" else found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name]])
 
-    def write(self, **tables: DataFrame) -> str:
-        """A new snapshot; tables that aren't given are taken from the current one."""
-        version = f"v-{uuid.uuid4().hex}"
+    def write(self, batch: tuple[str, int] | None = None, **tables: DataFrame) -> str:
+        """A new snapshot; tables that aren't given are taken from the current one. batch is the stream's name and the number of its batch."""
+        version, pointers, batches = f"v-{uuid.uuid4().hex}", self._pointers(), self.batches()
         for name in TABLES:
             rows = tables[name] if name in tables else self.read(name)
             if name == "memories":  # a repo's rows lie together, so that a filter on repo reads little
                 rows = rows.sortWithinPartitions("repo", "row_id")
             rows.write.parquet(f"{self.folder}/{version}/{name}")
-        path, files = self._path(f"CURRENT-{version}")
-        out = files.create(path, True)
-        out.write(bytearray(version.encode()))
+        number = pointers[-1][0] + 1 if pointers else 1
+        draft, files = self._path(f"drafts/{version}")
+        out = files.create(draft, True)
+        out.write(bytearray(json.dumps({"version": version, "batches": batches | (dict([batch]) if batch else {})}).encode()))
         out.close()
-        target, _ = self._path("CURRENT")
-        if files.exists(target):
-            files.delete(target, False)
-        files.rename(path, target)
+        target, _ = self._path(f"pointers/{number:012d}-pointer")
+        files.mkdirs(target.getParent())
+        if files.exists(target) or not files.rename(draft, target):
+            raise RuntimeError(f"another writer made snapshot {number} of {self.folder}")
         return version
 
     def memories(self, repo: str | None = None) -> DataFrame:
