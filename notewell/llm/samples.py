@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewell.llm.arrays import blocks
@@ -16,17 +16,27 @@ def fold(modulus: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, training, most: int) -> pd.DataFrame:
+SAMPLE_CHARACTERS = 40_000_000
+"""Of the texts with either label in a sample: 80 MB at most, or one longer text."""
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, training, most: int, characters: int = SAMPLE_CHARACTERS) -> pd.DataFrame:
     """text and label of up to `most` training rows with either label, in the order of a hash of doc_id.
 
-    Ids are chosen first, so the texts that travel are those of the sample.
-    Rows without label or doc_id and repeated texts are left out.
+    Ids are chosen first, so the texts that travel are those of the sample; its
+    last rows go, whole, if it has more than `characters`. Rows without label or
+    doc_id, ids that have both labels, and repeated texts are left out.
     """
-    rows = labels.select("doc_id", F.col(label).alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").where(training).distinct()
+    rows = labels.select("doc_id", F.col(label).alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").where(training)
+    rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     order = F.xxhash64(F.col("doc_id"), F.lit(label))
     ids = rows.where("label = 0").orderBy(order, "doc_id").limit(most).unionByName(rows.where("label = 1").orderBy(order, "doc_id").limit(most))
-    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").toPandas()
-    return found.sort_values(["doc_id", "text"]).drop_duplicates("text").reset_index(drop=True)
+    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").withColumn("order", order)
+    once = found.groupBy("doc_id", "label", "order", F.xxhash64("text").alias("version")).agg(F.count(F.lit(1)).alias("many"), F.max(F.length("text")).alias("size"))
+    sofar = F.sum("size").over(Window.partitionBy("label").orderBy("order", "doc_id", "version").rowsBetween(Window.unboundedPreceding, -1))
+    kept = once.withColumn("before", F.coalesce(sofar, F.lit(0))).where((F.col("before") == 0) | (F.col("before") + F.col("size") <= characters)).select("doc_id", "version")
+    texts = found.withColumn("version", F.xxhash64("text")).join(F.broadcast(kept), ["doc_id", "version"], "left_semi").select("doc_id", "text", "label").dropDuplicates(["text"]).toPandas()
+    return texts.sort_values(["doc_id", "text"]).reset_index(drop=True)
 
 
 def unlike(texts: list[str], words: int = 3) -> np.ndarray:
