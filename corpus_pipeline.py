@@ -2,6 +2,12 @@
 
 Toxic documents go, then repeated lines, then all but one of each group of near
 copies; personal data gets pseudonyms; what is left is packed into sequences.
+
+Defined results: a null text is no toxic one and stays, through packing as one
+end id; texts without words are in no group of copies; rows that share a
+doc_id go or stay together in the near-duplicate stage, and each is packed;
+rows without doc_id stay; extra columns are kept until packing; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where none is set, as in tests, one of our own."""
+    """The folder in spark.checkpoint.dir; where none is set, one of our own, on a single machine alone."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder and not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if not folder:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         folder = context.getCheckpointDir()
