@@ -130,5 +130,5 @@ def check(rows, texts, library, spare):
     assert len(found[None]) == 1
     for parts in rooms.values():
         assert [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] == [o for o, _ in sorted(parts)]
-    total = sum(n for parts in rooms.values() for _, n in parts)
-    assert len(rooms) <= -(-total // 2048) + spare
+    lengths = np.array([n for parts in rooms.values() for _, n in parts])
+    assert len(rooms) <= (lengths == 2048).sum() + packing.lower_bound(lengths[lengths < 2048]) + spare
