@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import types as T
 
 # The note types in the order of report sections, and the sections' titles.
@@ -56,20 +54,6 @@ def in_range(name: str, value, low, high):
     return value
 
 
-@dataclass(frozen=True)
-class Limits:
-    """How many rows each tool returns unless told otherwise, and at most."""
-
-    search: int = 5
-    context: int = 8
-    report: int = 10
-
-    def __post_init__(self) -> None:
-        in_range("search limit", self.search, 1, 50)
-        in_range("context limit", self.context, 1, 50)
-        in_range("report limit", self.report, 1, 100)
-
-
 def valid_type(kind: str) -> str:
     if kind not in TYPES:
         raise ValueError(f"{kind!r} is none of {', '.join(TYPES)}")
