@@ -74,6 +74,13 @@ def blocks(texts: list[str], most: int = BLOCK_CHARS):
         yield begin, len(texts)
 
 
+def in_parts(batches, rows: int = 512):
+    """Arrow batches of few rows, so that a worker holds few texts as Python strings at a time."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def offsets_of(lengths) -> np.ndarray:
     out = np.zeros(len(lengths) + 1, np.int64)
     np.cumsum(np.asarray(lengths, np.int64), out=out[1:])

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from notewell.llm.arrays import Memo, blocks, encode_block, ragged
+from notewell.llm.arrays import Memo, blocks, encode_block, in_parts, ragged
 from notewell.llm.frames import empty_text
 
 
@@ -235,7 +235,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         memo, _ = _machines(path)
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = batch.column(1).to_pylist()
             for i, j in blocks(texts):
                 ids, bounds = encode_block(texts[i:j], memo)
@@ -250,7 +250,7 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         memo, decoder = _machines(path)
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = batch.column(1).to_pylist()
             for i, j in blocks(texts):
                 ids, bounds = encode_block(texts[i:j], memo)

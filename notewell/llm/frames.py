@@ -17,11 +17,18 @@ def empty_text(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS_A_BATCH = "1000"
+"""Of Arrow: texts can be long, and Spark's own 10000 rows may then take more memory than a worker has."""
+
+
 def shipped(spark: SparkSession) -> SparkSession:
-    """spark, whose executors can import this package wherever the driver runs from."""
+    """spark, whose executors can import this package wherever the driver runs from, and whose batches of texts are small."""
     import shutil
     from pathlib import Path
 
+    if spark.conf.get(_BATCHES, "10000") == "10000":  # unless someone has set another number
+        spark.conf.set(_BATCHES, ROWS_A_BATCH)
     context = spark.sparkContext
     if not any(f.rpartition("/")[2] == "notewell.zip" for f in context.listFiles):
         package = Path(__file__).resolve().parent.parent

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewell.llm.arrays import blocks, lowered_bytes, mix64, span_hashes, word_spans
+from notewell.llm.arrays import blocks, in_parts, lowered_bytes, mix64, span_hashes, word_spans
 from notewell.llm.frames import dropped, empty_text, written
 from notewell.llm.graph import components
 
@@ -83,7 +83,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, key_a, key_b, signature); the keys tell sets apart."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = batch.column(1).to_pylist()
             for i, j in blocks(texts):
                 sets = shingle_sets(texts[i:j], words)
@@ -131,7 +131,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(node, shingles) of the documents in ids(doc_id)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = batch.column(1).to_pylist()
             for i, j in blocks(texts):
                 sets = [s.view(np.int64) for s in shingle_sets(texts[i:j], words)]

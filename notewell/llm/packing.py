@@ -29,7 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewell.llm.arrays import Memo, blocks, encode_block
+from notewell.llm.arrays import Memo, blocks, encode_block, in_parts
 from notewell.llm.frames import empty_text, written
 
 CAPACITY = 2048
@@ -62,7 +62,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
     def run(batches):
         memo = _memo(path)
-        for batch in batches:
+        for batch in in_parts(batches):
             texts, doc_ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             for i, j in blocks(texts):
                 ids, bounds = encode_block(texts[i:j], memo)

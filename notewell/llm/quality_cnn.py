@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewell.llm.arrays import offsets_of, span_hashes, word_spans
+from notewell.llm.arrays import in_parts, offsets_of, span_hashes, word_spans
 from notewell.llm.frames import empty_text
 from notewell.llm.samples import fold, labelled
 
@@ -152,7 +152,7 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
     from notewell.llm.arrays import blocks
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = batch.column(1).to_pylist()
             logits = [net.logits(texts[i:j]) for i, j in blocks(texts, BLOCK)]
             score = 1 / (1 + np.exp(-np.clip(np.concatenate(logits).astype(float) if logits else np.zeros(0), -700, 700)))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewell.llm.arrays import LETTER, blocks, classes, code_points, mix64, offsets_of, span_hashes
+from notewell.llm.arrays import LETTER, blocks, classes, code_points, in_parts, mix64, offsets_of, span_hashes
 from notewell.llm.frames import empty_text
 from notewell.llm.samples import fold, labelled, unlike
 
@@ -150,17 +150,16 @@ def fit(texts: list[str], label: np.ndarray, rounds: int = 30, seed: int = 0) ->
     positives = int(label.sum())
     if not positives or positives == len(label):
         return none
-    terms, labels = [], []
+    hashes, with_it, toxic = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
     for i, j in blocks(texts):
         each, run, first_run = terms_of(texts[i:j])
         text_of = np.tile(np.repeat(np.arange(i, j), np.diff(first_run))[run], len(each))
         term = np.concatenate(each)
         once = np.unique(mix64(term ^ mix64(text_of.astype(np.uint64))), return_index=True)[1]
-        terms.append(term[once])
-        labels.append(label[text_of[once]])
-    hashes, index = np.unique(np.concatenate(terms), return_inverse=True)
-    with_it = np.bincount(index, minlength=len(hashes))
-    toxic = np.bincount(index, weights=np.concatenate(labels), minlength=len(hashes))
+        # Counts so far and the block's own, by term.
+        hashes, index = np.unique(np.concatenate([hashes, term[once]]), return_inverse=True)
+        with_it = np.bincount(index, weights=np.concatenate([with_it, np.ones(len(once))]), minlength=len(hashes))
+        toxic = np.bincount(index, weights=np.concatenate([toxic, label[text_of[once]]]), minlength=len(hashes))
     rate = positives / len(label)
     odds = np.log((toxic + 4 * rate) / (with_it - toxic + 4 * (1 - rate))) - np.log(rate / (1 - rate))
     surprise = np.abs(toxic - rate * with_it) / np.sqrt(rate * (1 - rate) * with_it)
@@ -216,7 +215,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs(doc_id, text)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = batch.column(1).to_pylist()
             logits = [machine.logits(texts[i:j]) for i, j in blocks(texts)]
             score = 1 / (1 + np.exp(-np.clip(np.concatenate(logits) if logits else np.zeros(0), -700, 700)))
@@ -232,7 +231,7 @@ def clean(docs: DataFrame, machine: Machine) -> DataFrame:
     place = names.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = [t or "" for t in batch.column(place).to_pylist()]
             keep = np.concatenate([machine.logits(texts[i:j]) < 0 for i, j in blocks(texts)]) if texts else np.zeros(0, bool)
             yield batch.filter(pa.array(keep))
