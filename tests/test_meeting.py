@@ -37,3 +37,11 @@ def test_duplicates_equal_brute_force(spark, monkeypatch, sent):
 def test_exact_repeats_meet_without_their_texts(spark):
     plan = dedupe.duplicates(_probes(spark), _notes(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Join .*note_normalized", plan)
+
+
+def test_texts_are_normalised_once(spark):
+    """In one pass, and as in two: what is no letter or digit, then white space."""
+    texts = spark.createDataFrame([(t,) for t in (" A-b\t\n c ", "É1 ß x", "---", "", "a\U0001f4ccb", "x  y\r\n", None)], "t string")
+    two = F.trim(F.regexp_replace(F.regexp_replace(F.lower("t"), r"[^a-z0-9\s]", " "), r"\s+", " "))
+    assert all(r.a == r.b for r in texts.select(normalized(F.col("t")).alias("a"), two.alias("b")).collect())
+    assert normalized(F.col("t"))._jc.toString().count("regexp_replace") == 1
