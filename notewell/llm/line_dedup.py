@@ -7,9 +7,11 @@ and shorter lines all stay. The query and the pipeline take every line that has
 a word (`least` is 1). Words are compared by their 64-bit hashes.
 
 1. Words are counted in BUCKETS buckets, a table of fixed size. Each line gets
-   one row: its length, two hashes and two bitmaps of its set, its words with
-   the smallest hashes, and its prefix, the rarest words that it must share one
-   of with any similar line.
+   one row: its length, two hashes and a sketch of its set, its words with the
+   smallest hashes, and its prefix, the rarest words that it must share one of
+   with any similar line. Each of its 96 bits says whether an odd number of
+   the set's words fall on it: bits that differ between two lines are at most
+   as many as the words that only one of them has.
 2. Lines of equal sets meet by their hashes; their first is taken on. Sets of
    fewer than SMALL words are as similar as that to their equals alone, so this
    settles them, and the next steps leave them out.
@@ -17,8 +19,11 @@ a word (`least` is 1). Words are compared by their 64-bit hashes.
    of those that share it. This settles nearly all of a large group of near
    copies at about the group's own size.
 4. The others meet by the words of their prefixes. Length, position and the
-   bitmaps, each an upper bound of the overlap, filter the pairs within the join.
-5. Pairs that pass, and whose prefixes allow it, are verified on the whole sets.
+   sketches, each a bound of the overlap, filter the pairs within the join.
+5. Each line is compared first with the one that shares most words of its
+   prefix. This settles most lines, so that few of a group's pairs are left.
+6. The pairs of lines that are still open, if their prefixes allow it, are
+   verified on the whole sets, every one.
 
 Defined results: a null text stays null and an empty one empty; rows that share
 a doc_id are one document and repeated rows go the same way; rows without
@@ -90,14 +95,17 @@ def _described(docs: DataFrame, least: int) -> DataFrame:
     negative = (F.array_position(F.sort_array(F.array_append("hashes", F.lit(0).cast("long"))), F.lit(0).cast("long")) - 1).cast("int")
     sized = _sets(numbered).withColumn("n", F.size("hashes")).where(F.col("n") >= least).withColumn("negative", negative)
 
-    def mapped(hashes: Column) -> Column:
-        """A map of these words in 64 bits."""
-        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(bit(h)))
-
-    # Words whose hashes are negative have one map, which come first, and the others one.
-    b0, b1 = mapped(F.slice("hashes", F.lit(1), F.col("negative"))), mapped(F.slice("hashes", F.col("negative") + 1, F.col("n") - F.col("negative")))
-    code = F.transform("hashes", lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
+    def odd(hashes: Column, kind: str, bits: int) -> Column:
+        """Whether an odd number of these words fall on each bit."""
+        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast(kind), h.bitwiseAND(bits - 1).cast("int"))
+        return F.aggregate(hashes, F.lit(0).cast(kind), lambda so_far, h: so_far.bitwiseXOR(bit(h)))
+
+    # Words whose hashes are negative, which come first, have 64 bits, and the others 32.
+    b0 = odd(F.slice("hashes", F.lit(1), F.col("negative")), "long", 64)
+    b1 = odd(F.slice("hashes", F.col("negative") + 1, F.col("n") - F.col("negative")), "int", 32)
+    # coalesce: arrays that can't hold nulls are sorted as plain numbers.
+    rare = lambda h: F.coalesce(F.get(rarity, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), F.lit(0).cast("long"))
+    code = F.transform("hashes", lambda h: F.shiftleft(rare(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
     none = F.array().cast("array<long>")
     large = F.col("n") >= SMALL
     return sized.select(
@@ -116,14 +124,15 @@ def _enough(shared: Column, n: Column, m: Column) -> Column:
     return (100 + PERCENT) * shared >= PERCENT * (n + m)
 
 
-def _possible(a: str, b: str) -> Column:
-    """Whether the lengths and bitmaps of two lines allow the similarity; each bit that only one has is a word that only it has."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+def _length(a: str) -> Column:
+    return F.shiftrightunsigned(F.col(f"{a}.packed"), 32)
 
-    def alone(x: str, y: str) -> Column:
-        return sum((F.bit_count(F.col(f"{x}.{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{k}")))) for k in ("b0", "b1")), F.lit(0))
 
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & _enough(n - alone(a, b), n, m) & _enough(m - alone(b, a), n, m)
+def _possible(a: str, b: str, n: Column, m: Column) -> Column:
+    """Whether the sketches of two lines, and their lengths n and m, allow the similarity."""
+    # An int becomes a long: the bits that its sign fills don't count.
+    alone = sum((F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}")).cast("long").bitwiseAND(F.lit(ones).cast("long"))) for k, ones in (("b0", -1), ("b1", 2**32 - 1))), F.lit(0))
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * alone <= (100 - PERCENT) * (n + m))
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -146,18 +155,37 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select("d", "at").unionByName(pairs.select(F.col("d0").alias("d"), F.col("at0").alias("at"))).distinct()
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(d, version, at) of the later line of the pairs(d, at, d0, at0) whose sets are similar."""
-    met = written(pairs.distinct())
-    ends = written(_ends(met))
-    likely = written(_likely(met, lines, ends))
-    wanted = written(_ends(likely))
+def _judged(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(d, version, at, similar): whether the set of the later line of any of its pairs(d, at, d0, at0) is similar; pairs are written and distinct."""
+    wanted = written(_ends(pairs))
     some = _numbered(docs).join(sent(written(wanted.select("d").distinct())), "d", "left_semi")
     sets = written(_sets(some, sent(wanted)).drop("row").dropDuplicates(["d", "version", "at"]))
-    both = likely.join(sets, ["d", "at"]).join(sets.select(F.col("d").alias("d0"), F.col("at").alias("at0"), F.col("hashes").alias("hashes0")), ["d0", "at0"])
+    both = pairs.join(sets, ["d", "at"]).join(sets.select(F.col("d").alias("d0"), F.col("at").alias("at0"), F.col("hashes").alias("hashes0")), ["d0", "at0"])
     similar = _enough(F.size(F.array_intersect("hashes", "hashes0")), F.size("hashes"), F.size("hashes0"))
-    found = written(both.where(similar).select("d", "version", "at").distinct())
-    for table in (met, ends, likely, wanted, sets):
+    judged = written(both.select("d", "version", "at", similar.alias("similar")).groupBy("d", "version", "at").agg(F.bool_or("similar").alias("similar")))
+    for table in (wanted, sets):
+        dropped(table)
+    return judged
+
+
+def _found(judged: DataFrame) -> DataFrame:
+    return judged.where("similar").drop("similar")
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """(d, version, at) of the later line of the pairs(d, at, d0, at0, shared), shared words of prefixes, whose sets are similar."""
+    met = written(pairs)
+    best = written(met.groupBy("d", "at").agg(F.max(F.struct("shared", "d0", "at0")).alias("b")).select("d", "at", "b.d0", "b.at0"))
+    judged = _judged(best, docs)
+    # A line is open as long as one of its versions is.
+    still = written(best.join(sent(judged.where("NOT similar").select("d", "at").distinct()), ["d", "at"], "left_semi"))
+    o, m = sent(still).alias("o"), met.alias("m")
+    other = (F.col("m.d0") != F.col("o.d0")) | (F.col("m.at0") != F.col("o.at0"))
+    rest = written(m.join(o, (F.col("m.d") == F.col("o.d")) & (F.col("m.at") == F.col("o.at")) & other, "left_semi").drop("shared"))
+    ends = written(_ends(rest))
+    likely = written(_likely(rest, lines, ends))
+    found = written(_found(judged).unionByName(_found(_judged(likely, docs))))
+    for table in (met, best, judged, still, rest, ends, likely):
         dropped(table)
     return found
 
@@ -173,19 +201,25 @@ def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     # 3. Against the first line that shares a picked word.
     picked = firsts.select("d", "at", "n", "b0", "b1", F.explode("picked").alias("key"))
     leaders = written(picked.groupBy("key").agg(F.min(F.struct("d", "at", "n", "b0", "b1")).alias("l"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "l.*"))
-    met = picked.alias("y").join(sent(leaders).alias("x"), "key").where(_earlier("x", "y") & _possible("x", "y"))
-    settled = _verified(met.select("y.d", "y.at", F.col("x.d").alias("d0"), F.col("x.at").alias("at0")), lines, docs)
+    met = picked.alias("y").join(sent(leaders).alias("x"), "key").where(_earlier("x", "y") & _possible("x", "y", F.col("x.n"), F.col("y.n")))
+    settled = _found(_judged(written(met.select("y.d", "y.at", F.col("x.d").alias("d0"), F.col("x.at").alias("at0")).distinct()), docs))
 
     # 4. The others, against all earlier lines that share a word of the prefixes.
     rows = firsts.join(sent(settled).withColumn("settled", F.lit(1)), ["d", "version", "at"], "left")
-    postings = rows.select("d", "at", "n", "b0", "b1", F.when(F.col("settled").isNull(), 1).otherwise(0).alias("open"), F.posexplode("prefix").alias("place", "key"))
+    opened = F.when(F.col("settled").isNull(), 1).otherwise(0)
+    # One number has length, place and whether the line is open, as these rows are most of what is shuffled.
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("place").cast("long"), 1)).bitwiseOR(F.col("open").cast("long"))
+    postings = rows.select("d", "at", "n", "b0", "b1", opened.alias("open"), F.posexplode("prefix").alias("place", "word"))
+    # Equal words have equal keys; what else has them only adds pairs to verify.
+    postings = postings.select("d", "at", "b0", "b1", packed.alias("packed"), F.hash("word").alias("key"))
     x, y = postings.alias("x"), postings.alias("y")
-    n, m = F.col("x.n"), F.col("y.n")
+    n, m = _length("x"), _length("y")
+    place = lambda a: F.shiftright(F.col(f"{a}.packed").bitwiseAND(2**32 - 1), 1)
     # Words from the shared one on are all that can be shared.
-    room = F.least(n - F.col("x.place"), m - F.col("y.place"))
+    room = F.least(n - place("x"), m - place("y"))
     # `open` is asked of y alone, in terms of both sides: so both read one exchange.
-    near = _enough(room, n, m) & (F.col("y.open") * (F.col("x.open") + 1) > 0) & _earlier("x", "y") & _possible("x", "y")
-    pairs = y.join(x, (F.col("x.key") == F.col("y.key")) & near).select("y.d", "y.at", F.col("x.d").alias("d0"), F.col("x.at").alias("at0"))
+    near = _enough(room, n, m) & (F.col("y.packed").bitwiseAND(1) * (F.col("x.packed").bitwiseAND(1) + 1) > 0) & _earlier("x", "y") & _possible("x", "y", n, m)
+    pairs = y.join(x, (F.col("x.key") == F.col("y.key")) & near).groupBy("y.d", "y.at", F.col("x.d").alias("d0"), F.col("x.at").alias("at0")).agg(F.count(F.lit(1)).alias("shared"))
     return equal.unionByName(settled).unionByName(_verified(pairs, lines, docs)).distinct()
 
 
